@@ -102,7 +102,7 @@ def propose(spark: SparkSession, states: Sequence[dict], rows: int, seed: int) -
 def _moments(temper_share: float, widen: float):
     """Next proposal of one cohort from its rows, whose number the settings bound."""
 
-    def next_state(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def next_state(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         point = np.column_stack(
             [rows.beta1, np.log(-rows.beta2), np.log(-rows.beta3), np.log(rows.cutpoint)]
         )
