@@ -90,14 +90,17 @@ def _block_rows(batches: Iterator[pd.DataFrame]):
 
 
 def param_blocks(params: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-    """At most PARAM_BLOCK parameter rows (unique whole ``param_id`` per cohort) per row, as arrays."""
+    """At most PARAM_BLOCK parameter rows (unique whole ``param_id`` per cohort) per row, as arrays.
+
+    Sorted, so that every copy of a block, also of a task that ran again, has one order.
+    """
     if "scenario" not in params.columns:
         params = params.withColumn("scenario", F.lit(BASE.name))
     kept = ["param_id", *PARAMETERS, *extra]
     return (
         params.withColumn("param_block", F.floor(F.col("param_id") / PARAM_BLOCK))
         .groupBy("scenario", "cohort", "param_block")
-        .agg(F.collect_list(F.struct(*kept)).alias("rows"))
+        .agg(F.array_sort(F.collect_list(F.struct(*kept))).alias("rows"))
         .select("scenario", "cohort", "param_block", *[F.col("rows")[name].alias(name) for name in kept])
     )
 
@@ -114,10 +117,12 @@ def marginal_loglik(
     cap: int = CAP,
     truncation: str = "person",
     fast: bool = False,
+    param_rows: int | None = None,
 ) -> DataFrame:
     """(scenario, cohort, param_id, loglik): sum over persons of the log of the sum over cells.
 
-    ``fast`` works in single precision within a person, enough to move a proposal.
+    ``fast`` works in single precision within a person, enough to move a proposal;
+    ``param_rows`` is the number of parameter rows where the caller knows it.
     """
     cells = Cells(scenarios, step, cap, truncation)
     kind = np.float32 if fast else np.float64
@@ -149,7 +154,6 @@ def marginal_loglik(
             key = (row.scenario, row.cohort, row.param_block)
             sums = block_sums(row)
             if key in held:
-                # The arrays of one parameter block come from one row, so their order is the same.
                 held[key][1][:] += sums
             else:
                 held[key] = (row.param_id, sums)
@@ -159,7 +163,7 @@ def marginal_loglik(
         if held:
             yield hand_on()
 
-    met = join_params(pattern_blocks, param_blocks(params), "block")
+    met = join_params(pattern_blocks, param_blocks(params), "block", PARAM_BLOCK, param_rows)
     return (
         met.mapInPandas(partial_sums, "scenario string, cohort string, param_id long, loglik double")
         .groupBy("scenario", "cohort", "param_id")
@@ -237,7 +241,7 @@ def infection_draws(
                     }
                 )
 
-    met = join_params(person_blocks, param_blocks(draws), "block")
+    met = join_params(person_blocks, param_blocks(draws), "block", PARAM_BLOCK)
     return met.mapInPandas(sample, "scenario string, cohort string, draw long, num_id long, inf_day double")
 
 
@@ -279,7 +283,7 @@ def infection_day_counts(
                 ["scenario", "cohort", "draw", "x", "pos", "n"]
             ].astype({"x": "int32", "pos": "int64", "n": "int64"})
 
-    met = join_params(person_blocks, param_blocks(draws), "block")
+    met = join_params(person_blocks, param_blocks(draws), "block", PARAM_BLOCK)
     return (
         met.mapInPandas(count, "scenario string, cohort string, draw long, x int, pos long, n long")
         .groupBy("scenario", "cohort", "draw", "x")

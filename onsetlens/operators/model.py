@@ -16,7 +16,8 @@ from onsetlens.functions.density import (
 PARAMETERS = ("beta1", "beta2", "beta3", "cutpoint")
 
 # Rows of a parameter table that may be broadcast; beyond it the join is salted instead.
-BROADCAST_ROWS = 100_000
+# (A row is 40 bytes, so about 20 MB.)
+BROADCAST_ROWS = 500_000
 SALTS = 64
 
 # Fixed value: upper tail of normal(5, 5) above 0, that is the normal distribution at 1.
@@ -43,13 +44,18 @@ def param_logprior(params: DataFrame) -> DataFrame:
     return params.withColumn("logprior", F.when(inside, value).otherwise(F.lit(float("-inf"))))
 
 
-def join_params(rows: DataFrame, params: DataFrame, salt: str) -> DataFrame:
+def join_params(
+    rows: DataFrame, params: DataFrame, salt: str, per_row: int = 1, known: int | None = None
+) -> DataFrame:
     """Meet the parameter rows of the same cohort.
 
     A parameter table of checked size is broadcast.  A larger one is repeated over salts and
-    hash-joined, so that no cohort, which may hold most rows, ends in one task.
+    hash-joined, so that no cohort, which may hold most rows, ends in one task.  A row of
+    ``params`` stands for ``per_row`` parameter rows; ``known`` is their number where the
+    caller made them.
     """
-    if params.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    most = BROADCAST_ROWS // per_row
+    if (params.limit(most + 1).count() if known is None else known / per_row) <= most:
         return rows.join(F.broadcast(params), "cohort")
     salted = params.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     key = F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")

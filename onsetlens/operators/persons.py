@@ -39,7 +39,9 @@ def patterns(persons: DataFrame) -> DataFrame:
     return persons.groupBy("cohort", "bound", "entries").agg(F.count(F.lit(1)).alias("weight"))
 
 
-def blocks(rows: DataFrame, member: str, cap: int, size: int = BLOCK_ROWS) -> DataFrame:
+def blocks(
+    rows: DataFrame, member: str, cap: int, size: int = BLOCK_ROWS, tasks: int | None = None
+) -> DataFrame:
     """About ``size`` rows (patterns or persons) per block, as flat arrays.
 
     ``member`` is the column kept per row: the weight of a pattern or the id of a person.
@@ -53,7 +55,7 @@ def blocks(rows: DataFrame, member: str, cap: int, size: int = BLOCK_ROWS) -> Da
     packed = (
         placeable.join(F.broadcast(sizes), "cohort")  # one row per cohort
         .select("cohort", hashed, F.struct(F.col(member).alias("member"), "bound", "entries").alias("row"))
-        .repartition(parallel_tasks(rows.sparkSession), "cohort", "block")
+        .repartition(tasks or parallel_tasks(rows.sparkSession), "cohort", "block")
         .groupBy("cohort", "block")
         .agg(F.collect_list("row").alias("rows"))
     )

@@ -13,11 +13,11 @@ from onsetlens.operators.grid import BASE, CAP, STEP, Scenario
 from onsetlens.operators.likelihood import infection_day_counts, infection_draws
 from onsetlens.operators.model import PARAMETERS, curve
 from onsetlens.operators.panels import panels
-from onsetlens.operators.persons import blocks, patterns, person_entries
+from onsetlens.operators.persons import blocks, person_entries
 from onsetlens.operators.positivity import positivity_by_day
 from onsetlens.operators.posterior import resample_copies, resample_draws
 from onsetlens.operators.summaries import curve_summary, empirical_curve, parameter_summary
-from onsetlens.plans.fit import FitSettings, fit_blocks
+from onsetlens.plans.fit import FitSettings, fit_blocks, pattern_blocks
 from onsetlens.session import materialise
 from onsetlens.sources.schema import ONSET_DAY
 from onsetlens.sources.sinks import write_csv, write_draws
@@ -112,9 +112,9 @@ def analyse(
 
     ``empirical_draws`` costs (draws x persons) samples; set it to ``draws`` for all of them.
     """
-    persons = materialise(person_entries(tests, cohorts))
-    prepared = materialise(blocks(patterns(persons), "weight", cap))
-    weights = materialise(fit_blocks(prepared, scenarios, settings, step, cap, truncation))
+    persons = materialise(person_entries(tests, cohorts), "persons")
+    prepared = pattern_blocks(persons, cap)
+    weights = materialise(fit_blocks(prepared, scenarios, settings, step, cap, truncation), "weights")
     return Analysis(
         tests, persons, weights, cohorts, scenarios, draws, empirical_draws, step, cap, truncation, settings.seed
     )

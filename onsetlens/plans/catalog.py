@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from onsetlens.operators import cohorts as C
 from onsetlens.operators.align import align_days
 from onsetlens.operators.bounds import infection_bounds, unplaceable_persons
-from onsetlens.operators.grid import BASE, CAP, SCENARIOS, incubation_grid
+from onsetlens.operators.grid import CAP, SCENARIOS, incubation_grid
 from onsetlens.operators.likelihood import infection_day_counts, infection_draws, marginal_loglik
 from onsetlens.operators.model import curve, param_logprior, test_loglik
 from onsetlens.operators.panels import panels
@@ -27,9 +28,10 @@ from onsetlens.plans.analysis import analyse
 from onsetlens.plans.fit import FitSettings
 from onsetlens.plans.inputs import day_params, given_infection_days, lattice_params
 from onsetlens.plans.sensitivity import prior_sensitivity
+from onsetlens.session import configure, scratch_path
 from onsetlens.sources.checks import check_values
-from onsetlens.sources.sinks import read_csv, read_draws, scratch_path, write_csv, write_draws
-from onsetlens.sources.tables import tests_from_events, tests_from_tables
+from onsetlens.sources.sinks import read_csv, read_draws, write_csv, write_draws
+from onsetlens.sources.tables import bind_events, bind_tables
 from onsetlens.sources.tests_csv import load_tests
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,7 +42,7 @@ QUICK = FitSettings(rows=256, final_rows=512)
 
 
 def _tests(spark: SparkSession, folder: str) -> DataFrame:
-    return align_days(tests_from_tables(spark, folder))
+    return align_days(bind_tables(spark, folder))
 
 
 def _rounded(df: DataFrame, places: int, *names: str) -> DataFrame:
@@ -48,18 +50,18 @@ def _rounded(df: DataFrame, places: int, *names: str) -> DataFrame:
 
 
 def q_load_tests(spark, folder):
-    return tests_from_tables(spark, folder)
+    return bind_tables(spark, folder)
 
 
 def q_load_tests_csv(spark, folder):
     """The tests as a delimited file, read back with the documented schema."""
     path = scratch_path(spark, "tests")
-    write_csv(tests_from_tables(spark, folder), path, by=None)
+    write_csv(bind_tables(spark, folder), path, by=None)
     return load_tests(spark, path)
 
 
 def q_check_values(spark, folder):
-    return check_values(tests_from_tables(spark, folder))
+    return check_values(bind_tables(spark, folder))
 
 
 def q_align_days(spark, folder):
@@ -73,15 +75,15 @@ def q_assign_cohorts(spark, folder):
 
 
 def q_cohort_counts(spark, folder):
-    return C.cohort_counts(tests_from_tables(spark, folder))
+    return C.cohort_counts(bind_tables(spark, folder))
 
 
 def q_dense_ids(spark, folder):
-    return C.dense_ids(C.cohort_persons(tests_from_tables(spark, folder)))
+    return C.dense_ids(C.cohort_persons(bind_tables(spark, folder)))
 
 
 def q_renumber(spark, folder):
-    return C.renumber(C.assign_cohorts(tests_from_tables(spark, folder))).select(
+    return C.renumber(C.assign_cohorts(bind_tables(spark, folder))).select(
         "cohort", "new_id", "days_since_onset", "pcr_result"
     )
 
@@ -105,14 +107,14 @@ def q_positivity_by_day(spark, folder):
 def q_positivity_many_tests(spark, folder):
     """The same over events, where one person has many tests; one cohort holds everything."""
     everyone = (C.Cohort("Everyone", {}),)
-    return _rounded(positivity_by_day(tests_from_events(spark, folder), cohorts=everyone), 7, "mean", "lower", "upper")
+    return _rounded(positivity_by_day(bind_events(spark, folder), cohorts=everyone), 7, "mean", "lower", "upper")
 
 
 def q_person_patterns(spark, folder):
     """Distinct patterns of the many-tests binding and of the main one, counted by their size."""
     everyone = (C.Cohort("Everyone", {}),)
     found = patterns(person_entries(_tests(spark, folder))).unionByName(
-        patterns(person_entries(align_days(tests_from_events(spark, folder)), everyone))
+        patterns(person_entries(align_days(bind_events(spark, folder)), everyone))
     )
     return found.groupBy("cohort", "bound", F.size("entries").cast("long").alias("entries")).agg(
         F.count(F.lit(1)).alias("patterns"), F.sum("weight").alias("persons")
@@ -282,7 +284,15 @@ def q_fit_panels(spark, folder):
     return analyse(_tests(spark, folder), settings=QUICK, draws=4000, empirical_draws=100).panels()
 
 
-QUERIES: dict[str, Query] = {
+def _configured(query: Query) -> Query:
+    @functools.wraps(query)
+    def run(spark, folder):
+        return query(configure(spark), folder)
+
+    return run
+
+
+_QUERIES: dict[str, Query] = {
     "load_tests": q_load_tests,
     "load_tests_csv": q_load_tests_csv,
     "check_values": q_check_values,
@@ -320,3 +330,5 @@ QUERIES: dict[str, Query] = {
     "fit_parameters": q_fit_parameters,
     "fit_panels": q_fit_panels,
 }
+
+QUERIES: dict[str, Query] = {name: _configured(query) for name, query in _QUERIES.items()}

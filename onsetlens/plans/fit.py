@@ -23,7 +23,7 @@ from onsetlens.operators.likelihood import marginal_loglik
 from onsetlens.operators.model import param_logprior
 from onsetlens.operators.persons import blocks, patterns, person_entries
 from onsetlens.operators.posterior import posterior_weights
-from onsetlens.session import materialise
+from onsetlens.session import checkpoint_tasks, materialise, parallel_tasks
 
 _DF = 4  # degrees of freedom of the multivariate t proposal
 _AXES = 4
@@ -37,12 +37,15 @@ _START = ((0.0, math.log(0.1), math.log(0.01), math.log(4.0)), (2.0, 1.5, 1.5, 0
 
 @dataclass(frozen=True)
 class FitSettings:
-    rows: int = 512  # proposals per round, cohort and scenario
+    search_rows: int = 1024  # proposals per round, cohort and scenario, on single tests
+    search_share: float = 0.03  # effective share of rows that a tempered round must keep there
+    rows: int = 256  # the same two on whole persons
     final_rows: int = 2048
     max_rounds: int = 20
-    temper_share: float = 0.15  # effective share of rows that a tempered round must keep
+    temper_share: float = 0.07
     enough_share: float = 0.4  # effective share that ends the adaptation
     widen: float = 1.2
+    loosen: float = 3.0  # factor on the scale between single tests and whole persons
     seed: int = 1
 
 
@@ -137,9 +140,27 @@ def _moments(temper_share: float, widen: float):
 _STATE = "scenario string, cohort string, power double, share double, centre array<double>, root array<array<double>>"
 
 
-def pattern_blocks(tests: DataFrame, cohorts: Sequence[Cohort] = COHORTS, cap: int = CAP) -> DataFrame:
-    """Everything the fit reads from the tests, written once for all rounds."""
-    return materialise(blocks(patterns(person_entries(tests, cohorts)), "weight", cap))
+def pattern_blocks(persons: DataFrame, cap: int = CAP) -> DataFrame:
+    """Everything the fit reads of the persons, written once for all rounds."""
+    return checkpoint_tasks(blocks(patterns(persons), "weight", cap))
+
+
+def single_test_blocks(prepared: DataFrame, cap: int = CAP) -> DataFrame:
+    """Every test as if of a person of its own: at most days x results x bounds rows per cohort."""
+    person = F.transform(
+        F.arrays_zip("bound", "member", "size"),
+        lambda r: F.array_repeat(F.struct(r["bound"].alias("bound"), r["member"].alias("member")), r["size"]),
+    )
+    tests = prepared.withColumn("person", F.flatten(person)).select(
+        "cohort", F.inline(F.arrays_zip("person", "day", "pos", "n"))
+    )
+    counted = tests.groupBy("cohort", "person.bound", "day", "pos").agg(
+        F.sum(F.col("person.member") * F.col("n")).alias("weight")
+    )
+    entry = F.array(F.struct("day", "pos", F.lit(1).cast("long").alias("n")))
+    # Few rows for each cohort, so about a task per cohort.
+    tasks = min(16, parallel_tasks(prepared.sparkSession))
+    return checkpoint_tasks(blocks(counted.withColumn("entries", entry), "weight", cap, tasks=tasks))
 
 
 def fit_blocks(
@@ -151,9 +172,15 @@ def fit_blocks(
     truncation: str = "person",
     trace: list | None = None,
 ) -> DataFrame:
-    """Weighted parameter rows per scenario and cohort, from ``pattern_blocks``."""
+    """Weighted parameter rows per scenario and cohort, from ``pattern_blocks``.
+
+    Most rounds only look for the region of the posterior.  They run on single tests, a table
+    that does not grow with the number of persons; the likelihood itself takes over from there.
+    """
     spark = prepared.sparkSession
     present = [row["cohort"] for row in prepared.select("cohort").distinct().collect()]  # declared cohorts
+    if not present:
+        raise ValueError("no cohort has a person whose infection day can be placed")
     states = {
         (s.name, cohort): {
             "scenario": s.name,
@@ -166,30 +193,36 @@ def fit_blocks(
     }
     key = ["scenario", "cohort"]
 
-    def score(which, rows, seed, fast):
+    def score(data, which, rows, seed, fast):
         params = propose(spark, [states[k] for k in which], rows, seed)
-        logliks = marginal_loglik(params, prepared, scenarios, step, cap, truncation, fast)
+        logliks = marginal_loglik(
+            params, data, scenarios, step, cap, truncation, fast, param_rows=rows * len(which)
+        )
         return params.join(logliks, [*key, "param_id"])
 
-    active = sorted(states)
-    for number in range(settings.max_rounds):
-        if not active:
-            break
-        scored = score(active, settings.rows, settings.seed * 1000 + number, fast=True)
-        found = scored.groupBy(*key).applyInPandas(_moments(settings.temper_share, settings.widen), _STATE).collect()
-        for row in found:
-            states[row["scenario"], row["cohort"]] = row.asDict()
-        if trace is not None:
-            trace.append({(r["scenario"], r["cohort"]): (r["power"], r["share"]) for r in found})
-        active = sorted(
-            (r["scenario"], r["cohort"])
-            for r in found
-            if r["power"] < 1 or r["share"] < settings.enough_share
-        )
-    if not states:
-        raise ValueError("no cohort has a person whose infection day can be placed")
-    final = score(sorted(states), settings.final_rows, settings.seed * 1000 + 999, fast=False)
-    return posterior_weights(materialise(final))
+    def adapt(data, stage, rows, share, enough):
+        active = sorted(states)
+        for number in range(settings.max_rounds):
+            if not active:
+                break
+            seed = settings.seed * 1000 + stage * 100 + number
+            scored = score(data, active, rows, seed, fast=True)
+            moments = scored.groupBy(*key).applyInPandas(_moments(share, settings.widen), _STATE)
+            found = moments.collect()  # one row per cohort and scenario
+            for row in found:
+                states[row["scenario"], row["cohort"]] = row.asDict()
+            if trace is not None:
+                trace.append({(r["scenario"], r["cohort"]): (r["power"], r["share"]) for r in found})
+            active = sorted(
+                (r["scenario"], r["cohort"]) for r in found if r["power"] < 1 or r["share"] < enough
+            )
+
+    adapt(single_test_blocks(prepared, cap), 0, settings.search_rows, settings.search_share, 0.1)
+    for state in states.values():
+        state["root"] = [[settings.loosen * v for v in r] for r in state["root"]]
+    adapt(prepared, 1, settings.rows, settings.temper_share, settings.enough_share)
+    final = score(prepared, sorted(states), settings.final_rows, settings.seed * 1000 + 999, fast=False)
+    return posterior_weights(materialise(final, "posterior"))
 
 
 def fit(
@@ -202,4 +235,5 @@ def fit(
     truncation: str = "person",
 ) -> DataFrame:
     """(scenario, cohort, param_id, parameters, loglik, logprior, logproposal, weight, ess)."""
-    return fit_blocks(pattern_blocks(tests, cohorts, cap), scenarios, settings, step, cap, truncation)
+    prepared = pattern_blocks(person_entries(tests, cohorts), cap)
+    return fit_blocks(prepared, scenarios, settings, step, cap, truncation)

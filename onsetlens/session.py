@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import posixpath
 import tempfile
+import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -36,10 +39,39 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and go on from the copy."""
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder."""
+    return posixpath.join(checkpoint_folder(spark), "onsetlens", f"{name}-{uuid.uuid4().hex}")
+
+
+def materialise(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` as a table in the shared checkpoint folder and go on from it.
+
+    The copy outlives lost executors, and later readers prune its columns.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def checkpoint_tasks(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint that keeps the tasks of ``df``, for a stage bound by computing."""
     checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)  # otherwise the last stage would run twice
+    done = kept.checkpoint()
+    kept.unpersist()
+    return done
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    """Runtime settings the joins count on: a hot person's tests are split over tasks.
+
+    Without the last one a join that feeds an aggregate by the same key is left unsplit.
+    """
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    return spark
 
 
 def parallel_tasks(spark: SparkSession) -> int:

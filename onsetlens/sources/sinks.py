@@ -2,14 +2,9 @@
 
 from __future__ import annotations
 
-import posixpath
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from onsetlens.session import checkpoint_folder
-
 
 def write_csv(df: DataFrame, path: str, quote: bool = True, by: str | None = "cohort") -> None:
     """A header and comma-separated rows; ``quote`` puts text in quotes."""
@@ -33,8 +28,3 @@ def write_draws(df: DataFrame, path: str) -> None:
 def read_draws(spark: SparkSession, path: str, cohort: str | None = None) -> DataFrame:
     draws = spark.read.parquet(path)
     return draws if cohort is None else draws.where(F.col("cohort") == cohort)
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared checkpoint folder."""
-    return posixpath.join(checkpoint_folder(spark), "onsetlens", f"{name}-{uuid.uuid4().hex}")

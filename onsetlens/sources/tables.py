@@ -9,7 +9,7 @@ def _days(timestamp: str, origin: str):
     return F.datediff(F.col(timestamp).cast("date"), F.lit(origin).cast("date"))
 
 
-def tests_from_tables(spark: SparkSession, folder: str) -> DataFrame:
+def bind_tables(spark: SparkSession, folder: str) -> DataFrame:
     """Each table is reduced to the columns a test needs before it is joined."""
 
     def table(name):
@@ -71,7 +71,7 @@ def tests_from_tables(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def tests_from_events(spark: SparkSession, folder: str) -> DataFrame:
+def bind_events(spark: SparkSession, folder: str) -> DataFrame:
     """Many tests per person: a user is a person, an event is a test."""
     return spark.read.parquet(f"{folder}/events.parquet").select(
         F.col("user_id").alias("num_id"),
