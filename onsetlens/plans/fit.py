@@ -37,15 +37,15 @@ _START = ((0.0, math.log(0.1), math.log(0.01), math.log(4.0)), (2.0, 1.5, 1.5, 0
 
 @dataclass(frozen=True)
 class FitSettings:
-    search_rows: int = 1024  # proposals per round, cohort and scenario, on single tests
+    search_rows: int = 512  # proposals per round, cohort and scenario, on single tests
     search_share: float = 0.03  # effective share of rows that a tempered round must keep there
     rows: int = 256  # the same two on whole persons
     temper_share: float = 0.07
     final_rows: int = 2048
     max_rounds: int = 20
     enough_share: float = 0.4  # effective share that ends the adaptation
-    widen: float = 1.2
-    loosen: float = 3.0  # factor on the scale between single tests and whole persons
+    widen: float = 1.5
+    loosen: float = 2.0  # factor on the scale between single tests and whole persons
     seed: int = 1
 
 
