@@ -67,6 +67,20 @@ def assign_cohorts(tests: DataFrame, cohorts: Sequence[Cohort] = COHORTS) -> Dat
     return member.select(F.explode("cohorts").alias("cohort"), *[c for c in member.columns if c != "cohorts"])
 
 
+def counted_tests(tests: DataFrame, cohorts: Sequence[Cohort] = COHORTS) -> DataFrame:
+    """Equal tests of a person with their number ``n``, per cohort; tests are aligned.
+
+    They are counted before the first shuffle and before the fan-out, so a person with a large
+    share of all tests weighs no more than one with a test on every day.
+    """
+    return (
+        with_membership(tests, cohorts)
+        .groupBy("num_id", "cohorts", "symp_onset_day", "day_of_test", "pcr_result")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select(F.explode("cohorts").alias("cohort"), "num_id", "symp_onset_day", "day_of_test", "pcr_result", "n")
+    )
+
+
 def cohort_persons(tests: DataFrame, cohorts: Sequence[Cohort] = COHORTS) -> DataFrame:
     """Distinct (cohort, num_id) with the tests of each; a person with many tests is summed early."""
     return (

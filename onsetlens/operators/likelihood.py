@@ -19,6 +19,7 @@ from onsetlens.sources.schema import ONSET_DAY
 
 PARAM_BLOCK = 256
 THETAS_AT_ONCE = 8  # parameter rows per matrix product, so that it stays in cache
+WIDE_DAYS = 4096  # a block whose days spread wider is evaluated test by test
 HELD_SUMS = 512  # partial sums a task holds before it hands them on
 
 # "person": the prior is renormalised above each person's bound, tests count whatever their day.
@@ -51,17 +52,24 @@ class Cells:
         evaluated once for each of them.
         """
         per_day = round(1 / self.step)
-        first = int(days.min())
-        t = first + (np.arange((int(days.max()) - first) * per_day + len(self.inc)) + 0.5) * self.step
-        beta1, beta2, beta3, cutpoint = thetas.T[:, :, None]
+        first, span = int(days.min()), int(days.max() - days.min())
+        if span > WIDE_DAYS:
+            value = self._by_result(thetas, days[:, None] + self.inc)
+            return np.where(positive[:, None], value[:, 1], value[:, 0]).transpose(1, 0, 2)
+        value = self._by_result(thetas, first + (np.arange(span * per_day + len(self.inc)) + 0.5) * self.step)
+        windows = np.lib.stride_tricks.sliding_window_view(value, len(self.inc), axis=2)
+        return windows[:, positive.astype(np.int64), (days - first) * per_day].transpose(1, 0, 2)
+
+    def _by_result(self, thetas: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """Log mass of a negative and of a positive result at times t under each parameter row."""
+        beta1, beta2, beta3, cutpoint = thetas.T.reshape(4, -1, *[1] * t.ndim)
         gap = t - cutpoint
         eta = beta1 + np.where(gap < 0, beta2, beta3) * gap * gap
         tail = np.log1p(np.exp(-np.abs(eta)))
         value = np.stack([np.minimum(-eta, 0.0) - tail, np.minimum(eta, 0.0) - tail], axis=1)
         if self.joint:
             value[:, :, t < 0] = 0.0
-        windows = np.lib.stride_tricks.sliding_window_view(value, len(self.inc), axis=2)
-        return windows[:, positive.astype(np.int64), (days - first) * per_day].transpose(1, 0, 2)
+        return value
 
     def persons(self, row, thetas: np.ndarray, counts, days, positive) -> np.ndarray:
         """Log weight of each row of a block under each parameter row in each cell."""

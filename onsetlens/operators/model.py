@@ -65,13 +65,15 @@ def join_params(
 def test_loglik(params: DataFrame, tests: DataFrame) -> DataFrame:
     """Log-likelihood of all tests per parameter row, the infection day given in ``inf_day``.
 
-    Tests are first counted by (cohort, days since infection, result).
+    Tests are first counted by (cohort, days since infection, result); a row with ``n`` stands
+    for so many equal tests.
     """
+    number = F.sum("n") if "n" in tests.columns else F.count(F.lit(1))
     counted = (
         tests.where(F.col("pcr_result").isNotNull())
         .withColumn("diff", F.col("day_of_test") - F.col("inf_day"))
         .groupBy("cohort", "diff", "pcr_result")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(number.alias("n"))
     )
     eta = curve_logit(F.col("diff"), *[F.col(name) for name in PARAMETERS])
     return (

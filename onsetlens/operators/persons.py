@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from onsetlens.operators.cohorts import COHORTS, Cohort, with_membership
+from onsetlens.operators.cohorts import COHORTS, Cohort, counted_tests
 from onsetlens.session import parallel_tasks
 
 BLOCK_ROWS = 256
@@ -15,16 +15,9 @@ BLOCK_ROWS = 256
 def person_entries(tests: DataFrame, cohorts: Sequence[Cohort] = COHORTS) -> DataFrame:
     """(cohort, num_id, bound, entries): counts of a person's tests by day and result.
 
-    Equal tests are counted before the first shuffle, so an array holds at most two entries
-    per day and membership however many tests one person has.
+    An array holds at most two entries per day and membership however many tests one person has.
     """
-    counted = (
-        with_membership(tests, cohorts)
-        .withColumn("day", F.col("day_of_test") - F.col("symp_onset_day"))
-        .groupBy("num_id", "cohorts", "day", "pcr_result")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(F.explode("cohorts").alias("cohort"), "num_id", "day", "pcr_result", "n")
-    )
+    counted = counted_tests(tests, cohorts).withColumn("day", F.col("day_of_test") - F.col("symp_onset_day"))
     known = F.col("pcr_result").isNotNull()
     entry = F.struct("day", F.col("pcr_result").cast("tinyint").alias("pos"), "n")
     bound = F.max(F.when(F.col("pcr_result") & (F.col("day") < 0), -F.col("day")))
@@ -49,13 +42,15 @@ def blocks(
     of blocks follows the size of the cohort.  The tasks are numbered explicitly: the stage
     that reads the blocks is bound by computing and would be coalesced by their few bytes.
     """
+    spark = rows.sparkSession
+    tasks = tasks or max(parallel_tasks(spark), int(spark.conf.get("spark.sql.shuffle.partitions")))
     placeable = rows.where(F.col("bound") < cap)
     sizes = placeable.groupBy("cohort").agg(F.ceil(F.count(F.lit(1)) / size).alias("n_blocks"))
     hashed = F.pmod(F.xxhash64("entries", member), F.col("n_blocks")).alias("block")
     packed = (
         placeable.join(F.broadcast(sizes), "cohort")  # one row per cohort
         .select("cohort", hashed, F.struct(F.col(member).alias("member"), "bound", "entries").alias("row"))
-        .repartition(tasks or parallel_tasks(rows.sparkSession), "cohort", "block")
+        .repartition(tasks, "cohort", "block")
         .groupBy("cohort", "block")
         .agg(F.collect_list("row").alias("rows"))
     )

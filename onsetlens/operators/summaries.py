@@ -63,13 +63,15 @@ def curve_summary(curve: DataFrame) -> DataFrame:
 def infection_day_positivity(cohort_tests: DataFrame, infection_draws: DataFrame) -> DataFrame:
     """(cohort, draw, x, pos, n): every test met with every draw of its person's infection day.
 
-    Equal tests of a person are counted before the join, so a person with many tests does not
-    multiply the draws; the counts are summed map-side by (draw, day).
+    Tests of a person on one day are counted before the join (a row with ``n`` stands for so
+    many equal tests), so a person with many tests does not multiply the draws; the counts are
+    summed map-side by (draw, day).
     """
+    number = F.col("n") if "n" in cohort_tests.columns else F.lit(1)
     counted = (
         cohort_tests.where(F.col("pcr_result").isNotNull())
         .groupBy("cohort", "num_id", "day_of_test")
-        .agg(F.count_if("pcr_result").alias("pos"), F.count(F.lit(1)).alias("n"))
+        .agg(F.sum(F.when(F.col("pcr_result"), number).otherwise(0)).alias("pos"), F.sum(number).alias("n"))
     )
     x = (F.col("day_of_test") - F.rint("inf_day")).cast("int").alias("x")
     return (

@@ -28,7 +28,7 @@ from onsetlens.plans.analysis import analyse
 from onsetlens.plans.fit import FitSettings
 from onsetlens.plans.inputs import day_params, given_infection_days, lattice_params
 from onsetlens.plans.sensitivity import prior_sensitivity
-from onsetlens.session import configure, scratch_path
+from onsetlens.session import configure, materialise, scratch_path
 from onsetlens.sources.checks import check_values
 from onsetlens.sources.sinks import read_csv, read_draws, write_csv, write_draws
 from onsetlens.sources.tables import bind_events, bind_tables
@@ -45,6 +45,11 @@ def _tests(spark: SparkSession, folder: str) -> DataFrame:
     return align_days(bind_tables(spark, folder))
 
 
+def _lattice(tests: DataFrame) -> DataFrame:
+    """Written once, as its rows are counted before they are joined."""
+    return materialise(lattice_params(tests), "lattice")
+
+
 def _rounded(df: DataFrame, places: int, *names: str) -> DataFrame:
     return df.withColumns({name: F.round(name, places) for name in names})
 
@@ -142,14 +147,14 @@ def q_test_loglik(spark, folder):
     days = infection_bounds(tests).select(
         "cohort", "num_id", (F.col("te_upper_bound") - 0.5 * (1 + F.pmod("num_id", F.lit(28)))).alias("inf_day")
     )
-    met = C.assign_cohorts(tests).join(days, ["cohort", "num_id"])
-    return _rounded(test_loglik(lattice_params(tests), met), 6, "loglik")
+    met = C.counted_tests(tests).join(days, ["cohort", "num_id"])
+    return _rounded(test_loglik(_lattice(tests), met), 6, "loglik")
 
 
 def _lattice_loglik(spark, folder, truncation="person"):
     tests = _tests(spark, folder)
     packed = blocks(patterns(person_entries(tests)), "weight", CAP)
-    return marginal_loglik(lattice_params(tests), packed, truncation=truncation)
+    return marginal_loglik(_lattice(tests), packed, truncation=truncation)
 
 
 def q_marginal_loglik(spark, folder):
@@ -187,13 +192,13 @@ def q_resample_draws(spark, folder):
 def q_infection_draws(spark, folder):
     tests = _tests(spark, folder)
     packed = blocks(person_entries(tests), "num_id", CAP)
-    return _rounded(infection_draws(lattice_params(tests), packed, seed=7), 6, "inf_day").drop("scenario")
+    return _rounded(infection_draws(_lattice(tests), packed, seed=7), 6, "inf_day").drop("scenario")
 
 
 def q_infection_day_counts(spark, folder):
     tests = _tests(spark, folder)
     packed = blocks(person_entries(tests), "num_id", CAP)
-    return infection_day_counts(lattice_params(tests), packed, seed=7).drop("scenario")
+    return infection_day_counts(_lattice(tests), packed, seed=7).drop("scenario")
 
 
 def q_parameter_summary(spark, folder):
@@ -213,7 +218,7 @@ def q_curve_summary(spark, folder):
 
 def _empirical(tests, cohorts=C.COHORTS):
     given = given_infection_days(tests, DRAWS_GIVEN, cohorts)
-    return empirical_curve(infection_day_positivity(C.assign_cohorts(tests, cohorts), given))
+    return empirical_curve(infection_day_positivity(C.counted_tests(tests, cohorts), given))
 
 
 def q_empirical_curve(spark, folder):
@@ -268,7 +273,7 @@ def q_write_draws(spark, folder):
 
 def q_prior_sensitivity(spark, folder):
     tests = _tests(spark, folder)
-    found = prior_sensitivity(tests, lattice_params(tests))
+    found = prior_sensitivity(tests, _lattice(tests))
     return _rounded(found, 6, "loglik").withColumn("weight", F.round("weight", 6)).select(
         "scenario", "cohort", "param_id", "loglik", "weight"
     )

@@ -12,6 +12,7 @@ from onsetlens.operators.likelihood import marginal_loglik
 from onsetlens.operators.model import param_logprior
 from onsetlens.operators.persons import blocks, patterns, person_entries
 from onsetlens.operators.posterior import posterior_weights
+from onsetlens.session import materialise
 
 
 def prior_sensitivity(
@@ -28,4 +29,5 @@ def prior_sensitivity(
     repeated = params.withColumn("scenario", F.explode(names))
     logliks = marginal_loglik(repeated, packed, scenarios, step, cap)
     scored = param_logprior(repeated).join(logliks, ["scenario", "cohort", "param_id"])
-    return posterior_weights(scored.withColumn("logproposal", F.lit(0.0)))
+    # A row per scenario and parameter row; the weights read it three times.
+    return posterior_weights(materialise(scored.withColumn("logproposal", F.lit(0.0)), "scenarios"))

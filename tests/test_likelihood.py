@@ -117,6 +117,15 @@ def test_unplaceable_persons_do_not_count(make_tests, params):
     assert found[0] == pytest.approx(expected_loglik(THETAS[0], rows), rel=1e-12)
 
 
+@pytest.mark.parametrize("truncation", ["person", "joint"])
+def test_days_far_apart(make_tests, params, truncation):
+    rows = [(1, 2, True), (1, 900_000, False), (2, -2_000_000, False), (2, 7, True)]
+    packed = blocks(patterns(person_entries(make_tests(rows), EVERYONE)), "weight", 30)
+    found = {r.param_id: r.loglik for r in marginal_loglik(params, packed, truncation=truncation).collect()}
+    want = expected_loglik(THETAS[0], rows, joint=truncation == "joint")
+    assert found[0] == pytest.approx(want, rel=1e-12)
+
+
 def test_grid_refinement_changes_little(make_tests, params):
     packed = blocks(patterns(person_entries(make_tests(persons_data()[:200]), EVERYONE)), "weight", 30).cache()
     by_step = [
