@@ -124,12 +124,13 @@ def marginal_loglik(
     truncation: str = "person",
     fast: bool = False,
     param_rows: int | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """(scenario, cohort, param_id, loglik): sum over persons of the log of the sum over cells.
 
     ``fast`` takes the exponentials in single precision, enough to move a proposal: the error
     is about 1e-7 per person and has no common sign.  ``param_rows`` is the number of parameter
-    rows where the caller knows it.
+    rows where the caller knows it; ``carry`` names columns of doubles that come along.
     """
     cells = Cells(scenarios, step, cap, truncation)
     kind = np.float32 if fast else np.float64
@@ -152,8 +153,8 @@ def marginal_loglik(
         def hand_on():
             return pd.concat(
                 [
-                    pd.DataFrame({"scenario": key[0], "cohort": key[1], "param_id": ids, "loglik": sums})
-                    for key, (ids, sums) in held.items()
+                    pd.DataFrame({"scenario": key[0], "cohort": key[1], **columns, "loglik": sums})
+                    for key, (columns, sums) in held.items()
                 ]
             )
 
@@ -163,18 +164,20 @@ def marginal_loglik(
             if key in held:
                 held[key][1][:] += sums
             else:
-                held[key] = (row.param_id, sums)
+                held[key] = ({name: getattr(row, name) for name in ("param_id", *carry)}, sums)
             if len(held) >= HELD_SUMS:
                 yield hand_on()
                 held.clear()
         if held:
             yield hand_on()
 
-    met = join_params(pattern_blocks, param_blocks(params), "block", PARAM_BLOCK, param_rows)
+    more = [name for name in carry if name not in PARAMETERS]
+    met = join_params(pattern_blocks, param_blocks(params, more), "block", PARAM_BLOCK, param_rows)
+    carried = "".join(f"{name} double, " for name in carry)
     return (
-        met.mapInPandas(partial_sums, "scenario string, cohort string, param_id long, loglik double")
+        met.mapInPandas(partial_sums, f"scenario string, cohort string, param_id long, {carried}loglik double")
         .groupBy("scenario", "cohort", "param_id")
-        .agg(F.sum("loglik").alias("loglik"))
+        .agg(*[F.first(name).alias(name) for name in carry], F.sum("loglik").alias("loglik"))
     )
 
 

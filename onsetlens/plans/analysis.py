@@ -13,7 +13,7 @@ from onsetlens.operators.grid import BASE, CAP, STEP, Scenario
 from onsetlens.operators.likelihood import infection_day_counts, infection_draws
 from onsetlens.operators.model import PARAMETERS, curve
 from onsetlens.operators.panels import panels
-from onsetlens.operators.persons import blocks, person_entries
+from onsetlens.operators.persons import block_tasks, blocks, person_entries
 from onsetlens.operators.positivity import positivity_by_day
 from onsetlens.operators.posterior import resample_copies, resample_draws
 from onsetlens.operators.summaries import curve_summary, empirical_curve, parameter_summary
@@ -60,7 +60,8 @@ class Analysis:
             .agg(F.min_by(F.struct("num_id", "bound", "entries"), "num_id").alias("p"))
             .select("cohort", "p.*")
         )
-        days = infection_draws(self.equal_draws(self.draws), blocks(lowest, "num_id", self.cap), **self._sampling())
+        packed = blocks(lowest, "num_id", self.cap, tasks=len(self.cohorts))
+        days = infection_draws(self.equal_draws(self.draws), packed, **self._sampling())
         return days.select("scenario", "cohort", "draw", (ONSET_DAY - F.col("inf_day")).alias("inc1"))
 
     def parameters(self) -> DataFrame:
@@ -73,13 +74,13 @@ class Analysis:
         return curve_summary(curve(copies.select("scenario", "cohort", "copies", *PARAMETERS)))
 
     def empirical(self) -> DataFrame:
-        packed = blocks(self.persons, "num_id", self.cap)
+        packed = blocks(self.persons, "num_id", self.cap, tasks=block_tasks(self.persons))
         drawn = self.equal_draws(self.empirical_draws)
         return empirical_curve(infection_day_counts(drawn, packed, **self._sampling()))
 
     def infection_days(self, n: int) -> DataFrame:
         """(scenario, cohort, draw, num_id, inf_day) for n draws of every person."""
-        packed = blocks(self.persons, "num_id", self.cap)
+        packed = blocks(self.persons, "num_id", self.cap, tasks=block_tasks(self.persons))
         return infection_draws(self.equal_draws(n), packed, **self._sampling())
 
     def positivity(self) -> DataFrame:

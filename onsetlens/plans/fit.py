@@ -20,11 +20,12 @@ from onsetlens.functions.density import hash_uniform
 from onsetlens.operators.cohorts import COHORTS, Cohort
 from onsetlens.operators.grid import BASE, CAP, STEP, Scenario
 from onsetlens.operators.likelihood import marginal_loglik
-from onsetlens.operators.model import param_logprior
-from onsetlens.operators.persons import blocks, patterns, person_entries
+from onsetlens.operators.model import PARAMETERS, param_logprior
+from onsetlens.operators.persons import block_tasks, blocks, patterns, person_entries
 from onsetlens.operators.posterior import posterior_weights
-from onsetlens.session import checkpoint_tasks, materialise, parallel_tasks
+from onsetlens.session import checkpoint_tasks, materialise
 
+SEARCH_TASKS = 16  # for the search on single tests, whose size does not depend on the data
 _DF = 4  # degrees of freedom of the multivariate t proposal
 _AXES = 4
 _LOG_CONSTANT = (
@@ -61,43 +62,32 @@ def propose(spark: SparkSession, states: Sequence[dict], rows: int, seed: int) -
         ],
         "scenario string, cohort string, centre array<double>, root array<array<double>>",
     )
-    uniform = [hash_uniform(F.lit(seed), "scenario", "cohort", "param_id", F.lit(i)) for i in range(6)]
-    drawn = table.withColumn("param_id", F.explode(F.expr(f"sequence(0L, {rows - 1}L)"))).withColumns(
-        {f"u{i}": u for i, u in enumerate(uniform)}
-    )
+    uniform = [hash_uniform(F.lit(seed), "scenario", "cohort", "param_id", F.lit(i)).alias(f"u{i}") for i in range(6)]
     # Two normals from each pair of uniforms; the last pair gives a chi-square of 4.
-    radius = [F.sqrt(-2 * F.log(f"u{i}")) for i in (0, 2)]
-    angle = [F.col(f"u{i}") * (2 * math.pi) for i in (1, 3)]
-    shrink = F.sqrt(_DF / (-2 * (F.log("u4") + F.log("u5"))))
-    drawn = drawn.withColumns(
-        {
-            "z0": radius[0] * F.cos(angle[0]) * shrink,
-            "z1": radius[0] * F.sin(angle[0]) * shrink,
-            "z2": radius[1] * F.cos(angle[1]) * shrink,
-            "z3": radius[1] * F.sin(angle[1]) * shrink,
-        }
-    )
-
-    def axis(i):
-        value = F.col("centre")[i]
-        for j in range(i + 1):
-            value = value + F.col("root")[i][j] * F.col(f"z{j}")
-        return value
-
-    drawn = drawn.withColumns({f"a{i}": axis(i) for i in range(_AXES)})
-    distance = sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(_AXES)), F.lit(0.0))
-    log_det = sum((F.log(F.col("root")[i][i]) for i in range(_AXES)), F.lit(0.0))
-    jacobian = F.col("a1") + F.col("a2") + F.col("a3")
-    density = _LOG_CONSTANT - log_det - (_DF + _AXES) / 2 * F.log1p(distance / _DF)
-    params = drawn.select(
-        "scenario",
-        "cohort",
-        "param_id",
-        F.col("a0").alias("beta1"),
-        (-F.exp("a1")).alias("beta2"),
-        (-F.exp("a2")).alias("beta3"),
-        F.exp("a3").alias("cutpoint"),
-        (density - jacobian).alias("logproposal"),
+    shrunk = f"sqrt({_DF} / (-2 * (ln(u4) + ln(u5))))"
+    normals = [
+        f"sqrt(-2 * ln(u{i - i % 2})) * {'sin' if i % 2 else 'cos'}(u{i - i % 2 + 1} * {2 * math.pi}) * {shrunk} AS z{i}"
+        for i in range(_AXES)
+    ]
+    axes = [" + ".join([f"centre[{i}]", *[f"root[{i}][{j}] * z{j}" for j in range(i + 1)]]) for i in range(_AXES)]
+    distance = " + ".join(f"z{i} * z{i}" for i in range(_AXES))
+    log_det = " + ".join(f"ln(root[{i}][{i}])" for i in range(_AXES))
+    density = f"{_LOG_CONSTANT} - ({log_det}) - {(_DF + _AXES) / 2} * ln(1 + ({distance}) / {_DF}) AS density"
+    params = (
+        table.select("*", F.explode(F.expr(f"sequence(0L, {rows - 1}L)")).alias("param_id"))
+        .select("*", *uniform)
+        .selectExpr("*", *normals)
+        .selectExpr("scenario", "cohort", "param_id", density, *[f"{axis} AS a{i}" for i, axis in enumerate(axes)])
+        .selectExpr(
+            "scenario",
+            "cohort",
+            "param_id",
+            "a0 AS beta1",
+            "-exp(a1) AS beta2",
+            "-exp(a2) AS beta3",
+            "exp(a3) AS cutpoint",
+            "density - (a1 + a2 + a3) AS logproposal",  # density of the parameters, not of their logs
+        )
     )
     return param_logprior(params)
 
@@ -141,8 +131,11 @@ _STATE = "scenario string, cohort string, power double, share double, centre arr
 
 
 def pattern_blocks(persons: DataFrame, cap: int = CAP) -> DataFrame:
-    """Everything the fit reads of the persons, written once for all rounds."""
-    return checkpoint_tasks(blocks(patterns(persons), "weight", cap))
+    """Everything the fit reads of the persons, written once for all rounds.
+
+    ``persons`` is a materialised table: it is counted to choose the number of tasks.
+    """
+    return checkpoint_tasks(blocks(patterns(persons), "weight", cap, tasks=block_tasks(persons)))
 
 
 def single_test_blocks(prepared: DataFrame, cap: int = CAP) -> DataFrame:
@@ -158,9 +151,7 @@ def single_test_blocks(prepared: DataFrame, cap: int = CAP) -> DataFrame:
         F.sum(F.col("person.member") * F.col("n")).alias("weight")
     )
     entry = F.array(F.struct("day", "pos", F.lit(1).cast("long").alias("n")))
-    # Few rows for each cohort, so about a task per cohort.
-    tasks = min(16, parallel_tasks(prepared.sparkSession))
-    return checkpoint_tasks(blocks(counted.withColumn("entries", entry), "weight", cap, tasks=tasks))
+    return checkpoint_tasks(blocks(counted.withColumn("entries", entry), "weight", cap, tasks=SEARCH_TASKS))
 
 
 def fit_blocks(
@@ -195,10 +186,10 @@ def fit_blocks(
 
     def score(data, which, rows, seed, fast):
         params = propose(spark, [states[k] for k in which], rows, seed)
-        logliks = marginal_loglik(
-            params, data, scenarios, step, cap, truncation, fast, param_rows=rows * len(which)
+        carry = [*PARAMETERS, "logprior", "logproposal"]
+        return marginal_loglik(
+            params, data, scenarios, step, cap, truncation, fast, param_rows=rows * len(which), carry=carry
         )
-        return params.join(logliks, [*key, "param_id"])
 
     def adapt(data, stage, rows, share, enough):
         active = sorted(states)
@@ -235,5 +226,5 @@ def fit(
     truncation: str = "person",
 ) -> DataFrame:
     """(scenario, cohort, param_id, parameters, loglik, logprior, logproposal, weight, ess)."""
-    prepared = pattern_blocks(person_entries(tests, cohorts), cap)
+    prepared = pattern_blocks(materialise(person_entries(tests, cohorts), "persons"), cap)
     return fit_blocks(prepared, scenarios, settings, step, cap, truncation)
