@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from onsetlens.functions.density import bernoulli_logit, hash_uniform, whole_day
 from onsetlens.operators import model
-from onsetlens.operators.grid import BASE, SCENARIOS, cell_count, incubation_grid
+from onsetlens.operators.grid import SCENARIOS, cell_count, incubation_grid
 from onsetlens.operators.likelihood import Cells
 
 PARAMS = "cohort string, param_id long, beta1 double, beta2 double, beta3 double, cutpoint double"

@@ -1,7 +1,6 @@
 """Every query against its SQL over the whole small tables."""
 
 import glob
-import math
 import os
 
 import duckdb
