@@ -5,7 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from onsetlens.llm.bpe_table import encode_decode, encoded_digest
 from onsetlens.llm.common import table
+from onsetlens.llm.fingerprint import fingerprint_documents
+from onsetlens.llm.language_id import language_id
 from onsetlens.llm.license_scan import license_digest, scan_licenses
 from onsetlens.llm.mix import mix
 from onsetlens.llm.token_count import token_counts
@@ -21,6 +24,10 @@ def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5, scale=256)
 
 
+def op3_paragraph_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -29,6 +36,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file(table(spark, sf_dir, "documents"), WORD_BPE, end_id=2)
 
@@ -37,12 +48,19 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest(scan_licenses(table(spark, sf_dir, "documents")))
 
 
+def op10_bpe_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded_digest(encode_decode(table(spark, sf_dir, "documents"), BYTE_BPE))
+
+
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
+    "op3_paragraph_sketch": op3_paragraph_sketch,
     "op4_mix_sources": op4_mix_sources,
     "op6_token_counts": op6_token_counts,
+    "op7_language_id": op7_language_id,
     "op8_token_file": op8_token_file,
     "op9_license_scan": op9_license_scan,
+    "op10_bpe_table": op10_bpe_table,
 }
 
 ORACLES: dict[str, str] = {}
