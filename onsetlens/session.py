@@ -44,13 +44,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return posixpath.join(checkpoint_folder(spark), "onsetlens", f"{name}-{uuid.uuid4().hex}")
 
 
-def materialise(df: DataFrame, name: str = "table") -> DataFrame:
+def materialise(df: DataFrame, name: str = "table", compression: str = "snappy") -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and go on from it.
 
     The copy outlives lost executors, and later readers prune its columns.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
