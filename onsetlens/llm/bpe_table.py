@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from onsetlens.llm.common import by_bytes, partitions, ragged_take, texts_of, worker_state
+from onsetlens.llm.common import by_bytes, partitions, ragged_take, texts_of, worker_state, small_batches
 from onsetlens.llm.word_ids import encode_batches, load_tokenizer
 from onsetlens.session import materialise
 
@@ -258,6 +258,7 @@ def encode_decode(documents: DataFrame, tokenizer: str, id_column: str = "doc_id
     and null ids too; an empty table gives none; other columns are not read.
     """
     spark = documents.sparkSession
+    small_batches(spark)
     buckets = 2 * partitions(spark)
     kept = documents.select(documents[id_column].cast("long").alias("doc_id"), documents[text_column].cast("string").alias("text"))
     # Written once: a chunk has to be the same for its documents and for its words.

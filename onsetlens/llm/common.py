@@ -15,6 +15,16 @@ BATCH_BYTES = 4 << 20  # text that a step holds at once, but for a single longer
 BUCKETS_PER_PARTITION = 2
 
 
+ARROW_ROWS = 2000  # rows that Spark hands to Python at once; whole texts are a few KB on average
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets Spark hand over whole texts in batches of at most ARROW_ROWS rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

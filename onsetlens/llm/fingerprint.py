@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from onsetlens.llm.common import BATCH_BYTES, BUCKETS_PER_PARTITION, order_bounds, order_bucket, partitions
+from onsetlens.llm.common import BATCH_BYTES, BUCKETS_PER_PARTITION, order_bounds, order_bucket, partitions, small_batches
 
 CELLS = 24  # of a stored fingerprint, and of the first try of a comparison
 PLACES = 3  # cells that a digest goes to, one in each third of the sketch
@@ -176,6 +176,7 @@ def fingerprint_documents(
     paragraphs, from the digests that subtracting and peeling the sketches recover.
     """
     spark = documents.sparkSession
+    small_batches(spark)
     kept = documents.select(
         documents[id_column].cast("long").alias("doc_id"), F.coalesce(documents[text_column].cast("string"), F.lit("")).alias("text")
     )

@@ -11,6 +11,7 @@ from onsetlens.llm.fingerprint import fingerprint_documents
 from onsetlens.llm.language_id import language_id
 from onsetlens.llm.license_scan import license_digest, scan_licenses
 from onsetlens.llm.mix import mix
+from onsetlens.llm.near_dup import near_duplicates
 from onsetlens.llm.token_count import token_counts
 from onsetlens.llm.token_file import token_file
 from onsetlens.llm.topk import top_k
@@ -24,6 +25,10 @@ def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5, scale=256)
 
 
+def op2_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_paragraph_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -54,6 +59,7 @@ def op10_bpe_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
+    "op2_minhash_bayes": op2_minhash_bayes,
     "op3_paragraph_sketch": op3_paragraph_sketch,
     "op4_mix_sources": op4_mix_sources,
     "op6_token_counts": op6_token_counts,
