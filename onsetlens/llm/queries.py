@@ -10,6 +10,7 @@ from onsetlens.llm.common import table
 from onsetlens.llm.fingerprint import fingerprint_documents
 from onsetlens.llm.language_id import language_id
 from onsetlens.llm.license_scan import license_digest, scan_licenses
+from onsetlens.llm.line_dedup import fuzzy_line_dedup
 from onsetlens.llm.mix import mix
 from onsetlens.llm.near_dup import near_duplicates
 from onsetlens.llm.token_count import token_counts
@@ -37,6 +38,10 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -62,6 +67,7 @@ QUERIES = {
     "op2_minhash_bayes": op2_minhash_bayes,
     "op3_paragraph_sketch": op3_paragraph_sketch,
     "op4_mix_sources": op4_mix_sources,
+    "op5_fuzzy_lines": op5_fuzzy_lines,
     "op6_token_counts": op6_token_counts,
     "op7_language_id": op7_language_id,
     "op8_token_file": op8_token_file,
