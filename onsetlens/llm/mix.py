@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import LongType, StringType, StructType
 
 from onsetlens.llm.common import byte_offsets, fresh, texts_of
 from onsetlens.session import materialise
@@ -24,9 +25,11 @@ _WORD_BYTE[[0x20, *range(0x09, 0x0E)]] = False
 _LETTER_BYTE = np.zeros(256, bool)
 _LETTER_BYTE[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 _LETTER_BYTE[0xC3:] = True  # first bytes of characters beyond ASCII, from U+00C0 on
+# Types as objects: the module is imported before there is a session.
+_SIZES = StructType().add("size", LongType()).add("letters", LongType()).add("chars", LongType())
 
 
-@F.arrow_udf("struct<size: bigint, letters: bigint, chars: bigint>")
+@F.arrow_udf(_SIZES)
 def text_size(texts: pa.Array) -> pa.Array:
     """Words between ASCII white space, letters and code points of each text (null: 0)."""
     texts = texts_of(texts)
@@ -155,7 +158,7 @@ def mixed_documents(documents: DataFrame, sf_dir: str | None = None, text_column
     return met.withColumn(text_column, cut).select(*documents.columns)
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def first_words(texts: pa.Array, counts: pa.Array) -> pa.Array:
     """The head of each text up to the end of its word number ``counts``."""
     out = []
