@@ -23,6 +23,7 @@ FILTERS = 16  # of each width
 SAMPLE_ROWS = 4096  # labelled documents that training may read
 SAMPLE_WINDOWS = 2  # windows of each
 EPOCHS, BATCH, RATE = 6, 64, 0.01
+LEAST_STEPS = 140  # a small sample is gone through more often
 UNKNOWN = "und"
 MIN_SCORE = 0.4  # a stage that filters by language rejects less certain documents
 _AT_ONCE = 256  # windows
@@ -59,7 +60,7 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], seed: i
     k = len(WIDTHS)
     first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
     step = 0
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-LEAST_STEPS // -(-len(windows) // BATCH)))):
         order = rng.permutation(len(windows))
         for i in range(0, len(order), BATCH):
             part = order[i : i + BATCH]
