@@ -66,11 +66,11 @@ def test_loglik(params: DataFrame, tests: DataFrame) -> DataFrame:
     """Log-likelihood of all tests per parameter row, the infection day given in ``inf_day``.
 
     Tests are first counted by (cohort, days since infection, result); a row with ``n`` stands
-    for so many equal tests.
+    for so many equal tests.  Tests without a day, a result or an infection day do not count.
     """
     number = F.sum("n") if "n" in tests.columns else F.count(F.lit(1))
     counted = (
-        tests.where(F.col("pcr_result").isNotNull())
+        tests.where(F.col("pcr_result").isNotNull() & F.col("day_of_test").isNotNull() & F.col("inf_day").isNotNull())
         .withColumn("diff", F.col("day_of_test") - F.col("inf_day"))
         .groupBy("cohort", "diff", "pcr_result")
         .agg(number.alias("n"))

@@ -17,9 +17,10 @@ def person_entries(tests: DataFrame, cohorts: Sequence[Cohort] = COHORTS) -> Dat
     """(cohort, num_id, bound, entries): counts of a person's tests by day and result.
 
     An array holds at most two entries per day and membership however many tests one person has.
+    Tests without a day or a result are no entries; a person who has no others keeps its row.
     """
     counted = counted_tests(tests, cohorts).withColumn("day", F.col("day_of_test") - F.col("symp_onset_day"))
-    known = F.col("pcr_result").isNotNull()
+    known = F.col("pcr_result").isNotNull() & F.col("day").isNotNull()
     entry = F.struct("day", F.col("pcr_result").cast("tinyint").alias("pos"), "n")
     bound = F.max(F.when(F.col("pcr_result") & (F.col("day") < 0), -F.col("day")))
     return counted.groupBy("cohort", "num_id").agg(

@@ -13,9 +13,12 @@ from onsetlens.operators.cohorts import COHORTS, Cohort, with_membership
 def positive_counts(
     tests: DataFrame, by: str = "days_since_onset", cohorts: Sequence[Cohort] = COHORTS
 ) -> DataFrame:
-    """x positives in n known results per (cohort, by), counted before the fan-out."""
+    """x positives in n known results per (cohort, by), counted before the fan-out.
+
+    Tests without a value of ``by`` are not counted.
+    """
     return (
-        with_membership(tests, cohorts)
+        with_membership(tests.where(F.col(by).isNotNull()), cohorts)
         .groupBy("cohorts", by)
         .agg(F.count_if("pcr_result").alias("x"), F.count("pcr_result").alias("n"))
         .select(F.explode("cohorts").alias("cohort"), by, "x", "n")

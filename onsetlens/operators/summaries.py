@@ -65,11 +65,11 @@ def infection_day_positivity(cohort_tests: DataFrame, infection_draws: DataFrame
 
     Tests of a person on one day are counted before the join (a row with ``n`` stands for so
     many equal tests), so a person with many tests does not multiply the draws; the counts are
-    summed map-side by (draw, day).
+    summed map-side by (draw, day).  Tests without a day or a result are not counted.
     """
     number = F.col("n") if "n" in cohort_tests.columns else F.lit(1)
     counted = (
-        cohort_tests.where(F.col("pcr_result").isNotNull())
+        cohort_tests.where(F.col("pcr_result").isNotNull() & F.col("day_of_test").isNotNull())
         .groupBy("cohort", "num_id", "day_of_test")
         .agg(F.sum(F.when(F.col("pcr_result"), number).otherwise(0)).alias("pos"), F.sum(number).alias("n"))
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import posixpath
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -87,8 +87,9 @@ class Analysis:
         return positivity_by_day(self.tests, cohorts=self.cohorts)
 
     def panels(self, scenario: str = BASE.name) -> DataFrame:
-        chosen = F.col("scenario") == scenario
-        return panels(self.curves().where(chosen), self.empirical().where(chosen), self.cohorts)
+        # Chosen before the sampling, which other scenarios would repeat.
+        chosen = replace(self, weights=self.weights.where(F.col("scenario") == scenario))
+        return panels(chosen.curves(), chosen.empirical(), self.cohorts)
 
     def write(self, folder: str) -> None:
         """Delimited summaries by cohort, and the posterior rows and draws as Parquet."""

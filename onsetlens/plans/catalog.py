@@ -109,6 +109,14 @@ def q_positivity_by_day(spark, folder):
     return _rounded(positivity_by_day(_tests(spark, folder)), 7, "mean", "lower", "upper")
 
 
+def q_positivity_missing_days(spark, folder):
+    """The same with no day for the tests of every 97th person."""
+    tests = bind_tables(spark, folder)
+    day = F.when(F.col("num_id") % 97 != 0, F.col("days_since_onset"))
+    tests = align_days(tests.withColumn("days_since_onset", day))
+    return _rounded(positivity_by_day(tests), 7, "mean", "lower", "upper")
+
+
 def q_positivity_many_tests(spark, folder):
     """The same over events, where one person has many tests; one cohort holds everything."""
     everyone = (C.Cohort("Everyone", {}),)
@@ -310,6 +318,7 @@ _QUERIES: dict[str, Query] = {
     "infection_bounds": q_infection_bounds,
     "unplaceable_persons": q_unplaceable_persons,
     "positivity_by_day": q_positivity_by_day,
+    "positivity_missing_days": q_positivity_missing_days,
     "positivity_many_tests": q_positivity_many_tests,
     "person_patterns": q_person_patterns,
     "incubation_grid": q_incubation_grid,

@@ -101,6 +101,11 @@ def _moments(temper_share: float, widen: float):
         )
         fixed, loglik = (rows.logprior - rows.logproposal).to_numpy(), rows.loglik.to_numpy()
         good = np.isfinite(fixed) & np.isfinite(loglik) & np.isfinite(point).all(axis=1)
+        if not good.any():  # nothing to learn from: start again, as untempered as can be
+            wide = np.diag([widen * v for v in _START[1]]).tolist()
+            return pd.DataFrame(
+                {"scenario": [key[0]], "cohort": [key[1]], "power": [0.0], "share": [0.0], "centre": [list(_START[0])], "root": [wide]}
+            )
         point, fixed, loglik = point[good], fixed[good], loglik[good]
         powers = 2.0 ** (-np.arange(0, 28, 0.25))
         log_w = powers[:, None] * (loglik - loglik.max()) + fixed

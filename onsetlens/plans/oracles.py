@@ -62,6 +62,12 @@ counts AS (
   FROM ct GROUP BY cohort, days_since_onset
 )"""
 
+_KNOWN_COUNTS = """
+known_counts AS (
+  SELECT cohort, days_since_onset, count(*) FILTER (WHERE pcr_result) AS x, count(pcr_result) AS n
+  FROM ct WHERE num_id % 97 <> 0 GROUP BY cohort, days_since_onset
+)"""
+
 _DAY_PARAMS = f"""
 day_params AS (
   SELECT cohort, CAST(days_since_onset + 11 AS BIGINT) AS param_id, x, n,
@@ -414,6 +420,9 @@ ORACLES: dict[str, str] = {
         FROM bounds GROUP BY cohort""",
     ),
     "positivity_by_day": _POSITIVITY_SQL,
+    "positivity_missing_days": _with(
+        _TESTS, _CT, _KNOWN_COUNTS, _interval("known_counts"), select=_POSITIVITY, recursive=True
+    ),
     "positivity_many_tests": _with(
         _EVENTS, _EVENT_COUNTS, _interval("counts"), select=_POSITIVITY, recursive=True
     ),

@@ -187,3 +187,18 @@ def test_counts_in_the_task_equal_the_join(spark, make_tests, params):
     names = ["cohort", "draw", "x", "pos", "n"]
     a, b = (sorted(map(tuple, df.select(names).collect())) for df in (quick, joined))
     assert a == b and sum(r[4] for r in a) == 3 * sum(r[2] is not None for r in persons_data())
+
+
+def test_tests_without_a_day_do_not_count(make_tests, params):
+    rows = [(1, 2, True), (2, -3, True), (3, 4, False)]
+    lone = [(3, None, False), (1, None, True), (1, 3, None)]
+
+    def tables(given):
+        entries = person_entries(make_tests(given), EVERYONE)
+        loglik = marginal_loglik(params, blocks(patterns(entries), "weight", 30)).collect()
+        counts = likelihood.infection_day_counts(params, blocks(entries, "num_id", 30)).collect()
+        return {r.param_id: r.loglik for r in loglik}, sorted(map(tuple, counts))
+
+    (with_lone, lone_counts), (without, counts) = tables(rows + lone), tables(rows)
+    assert with_lone == pytest.approx(without, rel=1e-12)
+    assert lone_counts == counts

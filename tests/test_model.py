@@ -80,7 +80,7 @@ def test_uniforms(spark):
 @pytest.mark.parametrize("limit", [500_000, 0])
 def test_loglik_with_given_days(spark, make_tests, monkeypatch, limit):
     monkeypatch.setattr(model, "BROADCAST_ROWS", limit)
-    tests = make_tests([(1, 2, True), (1, 2, True), (2, -3, False), (3, 0, None)]).withColumns(
+    tests = make_tests([(1, 2, True), (1, 2, True), (2, -3, False), (3, 0, None), (3, None, True)]).withColumns(
         {"cohort": F.lit("a"), "inf_day": F.lit(24.5)}
     )
     params = spark.createDataFrame([("a", 1, 0.3, -0.1, -0.01, 4.0), ("b", 2, 0.0, -0.1, -0.01, 4.0)], PARAMS)

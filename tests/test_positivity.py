@@ -45,3 +45,9 @@ def test_table(make_tests):
     assert (rows[2].method, rows[2].x, rows[2].n, rows[2].mean) == ("exact", 1, 3, pytest.approx(1 / 3))
     assert rows[-1].upper == 1.0 and rows[-1].lower == pytest.approx(0.025)
     assert rows[2].lower <= rows[2].mean <= rows[2].upper
+
+
+def test_tests_without_a_day_have_no_row(make_tests):
+    tests = make_tests([(1, 2, True), (2, None, False), (3, None, True)])
+    rows = positivity_by_day(tests).where("cohort = 'AllTests'").collect()
+    assert [(r.tSinceOnset, r.x, r.n) for r in rows] == [(2, 1, 1)]
