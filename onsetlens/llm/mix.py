@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
-from onsetlens.llm.common import byte_offsets, fresh, texts_of
+from onsetlens.llm.common import by_bytes, byte_offsets, fresh, small_batches, texts_of
 from onsetlens.session import materialise
 
 CAP = 3  # a target is at most so many times the size of its source
@@ -29,10 +29,7 @@ _LETTER_BYTE[0xC3:] = True  # first bytes of characters beyond ASCII, from U+00C
 _SIZES = StructType().add("size", LongType()).add("letters", LongType()).add("chars", LongType())
 
 
-@F.arrow_udf(_SIZES)
-def text_size(texts: pa.Array) -> pa.Array:
-    """Words between ASCII white space, letters and code points of each text (null: 0)."""
-    texts = texts_of(texts)
+def _sizes_of(texts: pa.Array) -> pa.Array:
     offsets = byte_offsets(texts)
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if len(texts) else np.zeros(0, np.uint8)
     offsets = offsets - offsets[0]
@@ -51,6 +48,14 @@ def text_size(texts: pa.Array) -> pa.Array:
     )
 
 
+@F.arrow_udf(_SIZES)
+def text_size(texts: pa.Array) -> pa.Array:
+    """Words between ASCII white space, letters and code points of each text (null: 0)."""
+    texts = texts_of(texts)
+    parts = [_sizes_of(b.column(0)) for b in by_bytes(pa.RecordBatch.from_arrays([texts], ["t"]), "t")]
+    return pa.concat_arrays(parts) if parts else _sizes_of(texts)
+
+
 def quality(letters, chars):
     """Weight of a text: its share of letters, at least 0.05; 1 for an empty text."""
     return F.when(chars > 0, F.greatest(F.lit(0.05), letters / chars)).otherwise(F.lit(1.0))
@@ -107,6 +112,7 @@ def mix(
     last.  Sources without words have target 0.  An empty table gives an empty result.  Other
     columns are neither read nor returned.
     """
+    small_batches(documents.sparkSession)
     kept = documents.select(
         documents[id_column].alias("id"), documents[source_column].alias("source"), text_size(documents[text_column].cast("string")).alias("t")
     )
