@@ -108,3 +108,16 @@ def test_whole_analysis(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out" / "draws")).count() == 4 * 500
     back = spark.read.option("header", True).csv(str(tmp_path / "out" / "curves"))
     assert back.count() == 4 * 501 and "cohort" in back.columns
+
+
+def test_impossible_rows_start_again():
+    import pandas as pd
+
+    from onsetlens.plans import fit as fitting
+
+    rows = pd.DataFrame(
+        {"beta1": [0.0, 1.0], "beta2": [-0.1, -0.2], "beta3": [-0.01, -0.02], "cutpoint": [4.0, 5.0]}
+    ).assign(logprior=0.0, logproposal=0.0, loglik=float("-inf"))
+    state = fitting._moments(0.07, 1.5)(("base", "a"), rows).iloc[0]
+    assert (state.scenario, state.cohort, state.power, state.share) == ("base", "a", 0.0, 0.0)
+    assert state.centre == list(fitting._START[0]) and state.root[0][0] == 1.5 * fitting._START[1][0]
