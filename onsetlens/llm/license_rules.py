@@ -1,7 +1,7 @@
 """Signatures of licences over lower-case words joined by single spaces.
 
 A rule is (label, priority, gate, pattern): the pattern is tried only on texts that hold the
-word ``gate``.  Names are written by hand; tags, short ids and addresses follow from the ids.
+word ``gate``, or one of several words joined by ``|``; every match holds one of them.  Names are written by hand; tags, short ids and addresses follow from the ids.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ eupl-1.1 | eupl 1 1 | eupl | european union public licen[cs]e (?:version |v )?1
 eupl-1.2 | eupl 1 2 | eupl | european union public licen[cs]e(?: (?:version |v )?1 2)?
 artistic-1.0 | artistic 1 0 | artistic | artistic licen[cs]e(?: 1 0)? | perl artistic licen[cs]e
 artistic-2.0 | artistic 2 0 | artistic | artistic licen[cs]e 2 0
-bsl-1.0 | bsl 1 0 | boost | boost software licen[cs]e(?: (?:version )?1 0)?
+bsl-1.0 | bsl 1 0 | bsl | boost software licen[cs]e(?: (?:version )?1 0)?
 busl-1.1 | busl 1 1 | busl | business source licen[cs]e(?: 1 1)?
 unlicense | unlicense | unlicense | the unlicense | unlicense org
 wtfpl | wtfpl | wtfpl | do what the fuck you want to public licen[cs]e
@@ -73,7 +73,7 @@ gfdl-1.1 | gfdl 1 1(?: only| or later)? | gfdl | gnu free documentation licen[cs
 gfdl-1.2 | gfdl 1 2(?: only| or later)? | gfdl | gnu free documentation licen[cs]e version 1 2
 gfdl-1.3 | gfdl 1 3(?: only| or later)? | gfdl | gnu free documentation licen[cs]e(?: version 1 3)?
 ofl-1.1 | ofl 1 1 | ofl | sil open font licen[cs]e(?: version 1 1)?
-python-2.0 | python 2 0 | psf | python software foundation licen[cs]e(?: version 2)? | psf licen[cs]e
+python-2.0 | python 2 0 | python | python software foundation licen[cs]e(?: version 2)? | psf licen[cs]e
 postgresql | postgresql | postgresql | postgresql licen[cs]e
 php-3.01 | php 3 01 | php | php licen[cs]e (?:version )?3 01
 ruby | ruby | ruby | ruby licen[cs]e
@@ -135,6 +135,16 @@ _TEXTS = (
 )
 
 
+def _gate_of(name: str, gate: str) -> str:
+    """The longest word outside groups; with an optional blank (``gpl ?v2``) the word may be joined to the next."""
+    plain = re.sub(r"\([^)]*\)[?]?", " ", name)
+    fixed = re.findall(r"(?<![^ ])[a-z0-9]{3,}(?= (?![?])|$)", plain)
+    if fixed:
+        return max(fixed, key=len)
+    joined = re.findall(r"(?<![^ ])([a-z0-9]{3,}) [?]([a-z0-9]+)(?= |$)", plain)
+    return f"{joined[0][0]}|{''.join(joined[0])}" if joined else gate
+
+
 def _rules() -> list[tuple[str, int, str, str]]:
     rules = list(_TEXTS)
     for line in _LICENCES.strip().splitlines():
@@ -144,8 +154,7 @@ def _rules() -> list[tuple[str, int, str, str]]:
         if " " in tag:
             rules.append((label, SHORT + 2, gate, tag))
         for name in names:
-            word = max(re.findall(r"(?<![^ ])[a-z0-9]{3,}(?= |$)", re.sub(r"\([^)]*\)[?]?", " ", name)) or [gate], key=len)
-            rules.append((label, NAME, word, name))
+            rules.append((label, NAME, _gate_of(name, gate), name))
     return rules
 
 
@@ -153,6 +162,6 @@ def _whole(pattern: str) -> re.Pattern:
     return re.compile(rf"(?<![^ ])(?:{pattern})(?![^ ])".encode())
 
 
-# (label, priority, gate, pattern, place in the order); more than three hundred.
-RULES = [(label, rank, gate.encode(), _whole(pattern), i) for i, (label, rank, gate, pattern) in enumerate(_rules())]
+# (label, priority, gate words, pattern, place in the order); more than three hundred.
+RULES = [(label, rank, tuple(gate.encode().split(b"|")), _whole(pattern), i) for i, (label, rank, gate, pattern) in enumerate(_rules())]
 BASE_RULES = [(label, phrase.split()[0].encode(), _whole(phrase)) for phrase, label in BASE]

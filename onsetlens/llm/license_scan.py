@@ -36,10 +36,11 @@ def _kept(found: list[tuple]) -> list[tuple]:
 
 
 def _scanner(rules, base_rules):
-    gates = {gate for _, _, gate, _, _ in rules} | {gate for _, gate, _ in base_rules}
+    gates = {word for _, _, words, _, _ in rules for word in words} | {gate for _, gate, _ in base_rules}
     by_gate: dict[bytes, list] = {}
     for rule in rules:
-        by_gate.setdefault(rule[2], []).append(rule)
+        for word in rule[2]:
+            by_gate.setdefault(word, []).append(rule)
 
     def scan(text: bytes) -> tuple[int, list[tuple]]:
         words = text.translate(_FOLD).split(b" ")
@@ -61,8 +62,10 @@ def _scanner(rules, base_rules):
             if gate in present:
                 add(label, True, BASE_RANK, -1, pattern)
         for gate in present:
-            for label, rank, _, pattern, number in by_gate.get(gate, ()):
-                add(label, False, rank, number, pattern)
+            for label, rank, any_of, pattern, number in by_gate.get(gate, ()):
+                # A text may hold several words of a rule; the first of them tries it.
+                if len(any_of) == 1 or gate == next(w for w in any_of if w in present):
+                    add(label, False, rank, number, pattern)
         return len(words), _kept(found)
 
     return scan
@@ -73,7 +76,7 @@ def scan_licenses(documents: DataFrame, id_column: str = "doc_id", text_column:
 
     Words are runs of ASCII digits and letters (A-Z lower-cased) and characters beyond ASCII.
     ``spans`` are (label, base, priority, rule, first, last) by first word, from 0.  Rules are
-    tried only where their gate word occurs; of overlapping spans one inside another of higher
+    tried only where one of their gate words occurs; of overlapping spans one inside another of higher
     priority (or the same priority, and longer or earlier in the order) is suppressed.  The base
     phrases are counted at every place and never suppressed.  A null text is an empty one: no
     words, no spans.  One row per row, repeated ids too; other columns are not read.
