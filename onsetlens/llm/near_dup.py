@@ -291,14 +291,32 @@ def near_duplicates(
 
 
 def without_near_duplicates(documents: DataFrame, **settings) -> DataFrame:
-    """One document of each group, the one with the smallest id; columns as given.
+    """One document of each group, the first by id and hash of the text; columns as given.
 
-    Of rows that repeat an id one stays; rows with a null id stay.
+    Texts that share an id are documents of their own; of rows that are equal in id and text one
+    stays, the first by its other columns.  Rows with a null id stay.
     """
     mark = fresh(documents, "_near")
-    gone = near_duplicates(documents, **settings).where("NOT kept").select(F.col("doc_id").alias(mark)).distinct()
-    left = documents.join(gone, documents["doc_id"] == F.col(mark), "left_anti")
     repeated = documents.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
     if repeated.limit(1).count():
-        left = left.where("doc_id IS NULL").unionByName(left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
-    return left
+        return _without_copies_of_texts(documents, **settings)
+    gone = near_duplicates(documents, **settings).where("NOT kept").select(F.col("doc_id").alias(mark)).distinct()
+    return documents.join(gone, documents["doc_id"] == F.col(mark), "left_anti")
+
+
+def _without_copies_of_texts(documents: DataFrame, **settings) -> DataFrame:
+    """``without_near_duplicates`` for ids that repeat: a node for each (id, text)."""
+    doc, mark, row = (fresh(documents, name) for name in ("_doc", "_mark", "_row"))
+    key = [documents["doc_id"].cast("long").alias(doc), F.xxhash64(documents["text"].cast("string")).alias(mark)]
+    others = [documents[c] for c in documents.columns if c not in ("doc_id", "text")]
+    rank = F.to_json(F.struct(*others)) if others else F.lit("")
+    rows = documents.where("doc_id IS NOT NULL").select(*key, F.struct(*documents.columns).alias(row), rank.alias("_rank"))
+    single = rows.groupBy(doc, mark).agg(F.min_by(row, "_rank").alias(row))
+    # Written at once, so that the numbers stay.
+    single = materialise(single.withColumn("_node", F.monotonically_increasing_id()), "near-rows")
+    texts = single.select(F.col("_node").alias("doc_id"), F.col(row)["text"].alias("text"))
+    groups = near_duplicates(texts, **settings).select(F.col("doc_id").alias("_node"), "component_id")
+    placed = materialise(single.select("_node", doc, mark).join(groups, "_node"), "near-groups")
+    first = placed.groupBy("component_id").agg(F.min(F.struct(doc, mark, "_node"))["_node"].alias("_node")).select("_node")
+    left = single.join(first, "_node", "left_semi").select(*[F.col(row)[c].alias(c) for c in documents.columns])
+    return left.unionByName(documents.where("doc_id IS NULL"))
