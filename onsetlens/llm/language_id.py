@@ -239,8 +239,13 @@ def language_id(documents: DataFrame, id_column: str = "doc_id", text_column: st
 
 
 def with_known_language(documents: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """The documents whose predicted language is known with at least ``min_score``; same columns."""
+    """The documents whose predicted language is known with at least ``min_score``; same columns.
+
+    Where no row can train a model nothing is predicted, and all texts that hold a letter stay.
+    """
     model = fit(documents)
+    if model is None:
+        return documents.where(documents["text"].cast("string").rlike(r"\p{L}"))
     copy = fresh(documents, "_text")
     found = predict(documents.select(F.struct(*documents.columns).alias("row"), documents["text"].alias(copy)), model, copy)
     return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select("row.*")
