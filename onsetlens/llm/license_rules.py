@@ -132,6 +132,9 @@ _TEXTS = (
     ("licence", HINT, "released", r"released under(?: the| a)? (?:[^ ]+ ){1,4}licen[cs]e"),
     ("licence", HINT, "licence", r"see the licence for"),
     ("licence", HINT, "license", r"see the license (?:for|file)"),
+    ("bsd-zero", SHORT + 2, "0bsd", r"0bsd"),
+    ("wtfpl", SHORT + 2, "wtfpl", r"wtfpl"),
+    ("unlicense", SHORT + 2, "unlicense", r"unlicense"),
 )
 
 

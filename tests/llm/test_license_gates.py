@@ -49,3 +49,9 @@ def test_lost_labels(spark):
     texts = {"gpl-2.0": "under GPLv2.", "gpl-3.0": "GPLv3", "bsl-1.0": "(BSL-1.0)", "python-2.0": "Python-2.0"}
     found = license_digest(scan_licenses(spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string"))).collect()
     assert {i: r["labels"] for i, r in enumerate(sorted(found, key=lambda r: r["doc_id"]))} == dict(enumerate(texts))
+
+
+def test_ids_of_one_word(spark):
+    texts = {"bsd-zero": "License: 0BSD", "wtfpl": "(WTFPL)", "unlicense": "Unlicense"}
+    found = license_digest(scan_licenses(spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string"))).collect()
+    assert {i: r["labels"] for i, r in enumerate(sorted(found, key=lambda r: r["doc_id"]))} == dict(enumerate(texts))
