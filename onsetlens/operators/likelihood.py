@@ -7,6 +7,7 @@ meet blocks of patterns of the same cohort, and only sums per parameter row leav
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -21,6 +22,8 @@ PARAM_BLOCK = 256
 THETAS_AT_ONCE = 8  # parameter rows per matrix product, so that it stays in cache
 WIDE_DAYS = 4096  # a block whose days spread wider is evaluated test by test
 HELD_SUMS = 512  # partial sums a task holds before it hands them on
+DRAWS_AT_ONCE = 256  # draws of a block of persons sampled together
+HELD_COUNTS = 4_000_000  # counts by draw and day a task holds before it hands them on
 
 # "person": the prior is renormalised above each person's bound, tests count whatever their day.
 # "joint":  one normalisation for all; a test before infection is negative for sure.
@@ -181,56 +184,101 @@ def marginal_loglik(
     )
 
 
-# Fixed values of the generator below: a prime below 2^31 and two multipliers.
-_PRIME, _FIRST, _SECOND = 2147483647, 48271, 16807
+# Fixed values of the 64-bit mixer below: odd step and two multipliers (splitmix64).
+_STEP, _FIRST, _SECOND = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+_WORD = (1 << 64) - 1
 
 
-def _fifth_power(v: np.ndarray) -> np.ndarray:
-    square = v * v % _PRIME
-    return square * square % _PRIME * v % _PRIME
+def _mixed(v: np.ndarray) -> np.ndarray:
+    v = (v ^ (v >> np.uint64(30))) * np.uint64(_FIRST)
+    v = (v ^ (v >> np.uint64(27))) * np.uint64(_SECOND)
+    return v ^ (v >> np.uint64(31))
 
 
-def person_uniform(seed: int, num_id: np.ndarray, draw) -> np.ndarray:
-    """Uniform in (0, 1) of a (draw, person), in whole-number arithmetic any SQL engine has.
+def stream_key(seed: int, scenario: str, cohort: str) -> int:
+    """64 bits that name a stream of uniforms: the same person draws anew in every cohort and scenario."""
+    name = hashlib.md5(f"{scenario}/{cohort}".encode()).digest()
+    return (int.from_bytes(name[8:], "little") + seed * _STEP) & _WORD
 
-    x^5 permutes the residues of the prime, so no value is favoured; it does not depend on
-    which task computes it.  ``draw`` is a number or an array that broadcasts against ``num_id``.
+
+def person_uniform(key: int, num_id: np.ndarray, draw) -> np.ndarray:
+    """Uniform in (0, 1) of a (stream, person, draw): a counter-based generator.
+
+    It takes all 64 bits of the id and of the draw's number through an invertible mixer, so it
+    does not depend on which task computes it, in which order or how often.  ``draw`` is a
+    number or an array that broadcasts against ``num_id``.
     """
-    v = _fifth_power((num_id % _PRIME * _FIRST + seed) % _PRIME)
-    v = _fifth_power((v + draw % _PRIME * _SECOND) % _PRIME)
-    return (_fifth_power((v + seed + 1) % _PRIME) + 0.5) / _PRIME
+    with np.errstate(over="ignore"):
+        person = _mixed(np.asarray(num_id, np.int64).view(np.uint64) + np.uint64(_STEP)) ^ np.uint64(key & _WORD)
+        counter = (np.asarray(draw, np.int64).view(np.uint64) + np.uint64(1)) * np.uint64(_STEP)
+        v = _mixed(_mixed(person) + counter)
+    return ((v >> np.uint64(12)).astype(np.float64) + 0.5) / float(1 << 52)
 
 
 class _Sampler:
-    """Infection days of the persons of a block, from their conditional cell weights."""
+    """Infection days of the persons of a block, from their conditional cell weights.
+
+    A parameter row gives ``copies`` draws numbered from ``first``; its weights are found once.
+    """
 
     def __init__(self, cells: Cells, row, seed: int):
-        self.cells, self.row, self.seed = cells, row, seed
+        self.cells, self.row = cells, row
+        self.key = stream_key(seed, row.scenario, row.cohort)
         self.num_id = row.member.astype(np.int64)
         self.counts, self.days, self.positive = _count_matrix(row)
+        self.copies = row.copies.astype(np.int64)
+        ends = np.cumsum(self.copies)
+        self.draws = np.repeat(row.first.astype(np.int64) - (ends - self.copies), self.copies) + np.arange(ends[-1])
 
     def infection_days(self):
-        """(draws, days[person, draw]) for a few parameter rows at a time.
+        """(place of the first draw, days[person, draw]) for some draws of the block at a time.
 
         A cell by its conditional weight, then uniform within the cell: one uniform does both.
         """
-        draws, thetas = self.row.param_id.astype(np.int64), _thetas(self.row)
+        thetas, size = _thetas(self.row), len(self.cells.inc)
+        persons, at = np.arange(len(self.num_id))[:, None], 0
         for i in range(0, len(thetas), THETAS_AT_ONCE):
-            part = slice(i, i + THETAS_AT_ONCE)
-            weight = self.cells.persons(self.row, thetas[part], self.counts, self.days, self.positive)
+            part = thetas[i : i + THETAS_AT_ONCE]
+            weight = self.cells.persons(self.row, part, self.counts, self.days, self.positive)
             weight -= weight.max(axis=2, keepdims=True)
             np.exp(weight, out=weight)
-            running = np.cumsum(weight, axis=2)
-            uniform = person_uniform(self.seed, self.num_id[:, None], draws[None, part])
-            want = uniform * running[:, :, -1]
-            cell = np.minimum((running <= want[:, :, None]).sum(axis=2), weight.shape[2] - 1)
-            at = cell[:, :, None]
-            width = np.take_along_axis(weight, at, 2)[:, :, 0]
-            into = (want - (np.take_along_axis(running, at, 2)[:, :, 0] - width)) / width
-            yield draws[part], ONSET_DAY - (cell + np.clip(into, 0.0, 1.0)) * self.cells.step
-
-
-def infection_draws(
+            running = np.cumsum(weight, axis=2).ravel()
+            weight = weight.ravel()
+            of = np.repeat(np.arange(len(part)), self.copies[i : i + THETAS_AT_ONCE])
+            for j in range(0, len(of), DRAWS_AT_ONCE):
+                row = persons * len(part) + of[None, j : j + DRAWS_AT_ONCE]
+                before = row * size  # place ahead of the cells of a (person, parameter row)
+                uniform = person_uniform(self.key, self.num_id[:, None], self.draws[None, at : at + row.shape[1]])
+                want = uniform * running[before + size - 1]
+                cell = np.zeros(row.shape, np.int64)  # cells whose running weight is not above
+                step = 1 << (size.bit_length() - 1)
+                while step:
+                    further = np.minimum(cell + step, size)
+                    passed = running[before + further - 1] <= want
+                    cell = np.where(passed & (cell + step <= size), further, cell)
+                    step >>= 1
+                before += np.minimum(cell, size - 1, out=cell)
+                width = weight[before]
+                into = (want - (running[before] - width)) / width
+                yield at, ONSET_DAY - (cell + np.clip(into, 0.0, 1.0)) * self.cells.step
+                at += row.shape[1]
+
+
+def _numbered(draws: DataFrame) -> DataFrame:
+    """Rows with ``first`` and ``copies`` as resampling leaves them; otherwise ``param_id`` numbers single draws."""
+    if "copies" in draws.columns:
+        return draws
+    return draws.withColumn("first", F.col("param_id")).withColumn("copies", F.lit(1).cast("long"))
+
+
+def _met_with_draws(draws: DataFrame, person_blocks: DataFrame) -> DataFrame:
+    return join_params(person_blocks, param_blocks(_numbered(draws), ("first", "copies")), "block", PARAM_BLOCK)
+
+
+_PACKED = "scenario string, cohort string, num_id long, first long, inf_days array<double>"
+
+
+def packed_infection_draws(
     draws: DataFrame,
     person_blocks: DataFrame,
     seed: int = 1,
@@ -239,28 +287,94 @@ def infection_draws(
     cap: int = CAP,
     truncation: str = "person",
 ) -> DataFrame:
-    """(scenario, cohort, draw, num_id, inf_day): one infection day per draw and person.
-
-    ``draws`` has ``param_id`` and the four parameters; ``param_id`` numbers the draws.
-    """
+    """(scenario, cohort, num_id, first, inf_days): days of draws first, first + 1, ... of a person."""
     cells = Cells(scenarios, step, cap, truncation)
 
     def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for row in _block_rows(batches):
             sampler = _Sampler(cells, row, seed)
-            for draws, days in sampler.infection_days():
-                yield pd.DataFrame(
-                    {
-                        "scenario": row.scenario,
-                        "cohort": row.cohort,
-                        "draw": np.tile(draws, len(sampler.num_id)),
-                        "num_id": np.repeat(sampler.num_id, len(draws)),
-                        "inf_day": days.ravel(),
-                    }
-                )
+            for at, days in sampler.infection_days():
+                numbers = sampler.draws[at : at + days.shape[1]]
+                # Draws of a block follow each other unless the caller numbered them with gaps.
+                cuts = [0, *(np.flatnonzero(np.diff(numbers) != 1) + 1).tolist(), len(numbers)]
+                for a, b in zip(cuts[:-1], cuts[1:]):
+                    yield pd.DataFrame(
+                        {
+                            "scenario": row.scenario,
+                            "cohort": row.cohort,
+                            "num_id": sampler.num_id,
+                            "first": numbers[a],
+                            "inf_days": list(days[:, a:b]),
+                        }
+                    )
+
+    return _met_with_draws(draws, person_blocks).mapInPandas(sample, _PACKED)
+
+
+def unpacked(packed: DataFrame) -> DataFrame:
+    """(scenario, cohort, draw, num_id, inf_day) from rows that hold the days of several draws."""
+    day = F.posexplode("inf_days").alias("place", "inf_day")
+    return packed.select("scenario", "cohort", "num_id", "first", day).select(
+        "scenario", "cohort", (F.col("first") + F.col("place")).alias("draw"), "num_id", "inf_day"
+    )
 
-    met = join_params(person_blocks, param_blocks(draws), "block", PARAM_BLOCK)
-    return met.mapInPandas(sample, "scenario string, cohort string, draw long, num_id long, inf_day double")
+
+def infection_draws(
+    draws: DataFrame,
+    person_blocks: DataFrame,
+    seed: int = 1,
+    scenarios: Sequence[Scenario] = (BASE,),
+    step: float = STEP,
+    cap: int = CAP,
+    truncation: str = "person",
+) -> DataFrame:
+    """(scenario, cohort, draw, num_id, inf_day): one infection day per draw and person.
+
+    ``draws`` has ``param_id`` and the four parameters; ``param_id`` numbers the draws, unless
+    ``first`` and ``copies`` give several draws to a row.
+    """
+    return unpacked(packed_infection_draws(draws, person_blocks, seed, scenarios, step, cap, truncation))
+
+
+class _DayCounts:
+    """Tests and positive ones by draw of a parameter block and day, over the blocks of a task."""
+
+    def __init__(self, key: tuple, draws: np.ndarray):
+        self.key, self.draws, self.first = key, draws, 0
+        self.total = np.zeros((len(draws), 0))
+        self.pos = np.zeros((len(draws), 0))
+
+    def _hold(self, low: int, high: int) -> None:
+        if not self.total.shape[1]:
+            self.first = low
+        before, after = max(self.first - low, 0), max(high - self.first - self.total.shape[1], 0)
+        if before or after:
+            pad = ((0, 0), (before, after))
+            self.total, self.pos = np.pad(self.total, pad), np.pad(self.pos, pad)
+            self.first -= before
+
+    def add(self, at: int, x: np.ndarray, n: np.ndarray, pos: np.ndarray) -> None:
+        """``x`` holds the day of each test (rows) in the draws from ``at`` on (columns)."""
+        low, width = int(x.min()), int(x.max() - x.min()) + 1
+        self._hold(low, low + width)
+        draws = x.shape[1]
+        place = (np.arange(draws) * width + (x - low)).ravel()
+        into = (slice(at, at + draws), slice(low - self.first, low - self.first + width))
+        self.total[into] += np.bincount(place, np.repeat(n, draws), draws * width).reshape(draws, width)
+        self.pos[into] += np.bincount(place, np.repeat(pos, draws), draws * width).reshape(draws, width)
+
+    def rows(self) -> pd.DataFrame:
+        draw, day = np.nonzero(self.total)
+        return pd.DataFrame(
+            {
+                "scenario": self.key[0],
+                "cohort": self.key[1],
+                "draw": self.draws[draw],
+                "x": (day + self.first).astype(np.int32),
+                "pos": self.pos[draw, day].astype(np.int64),
+                "n": self.total[draw, day].astype(np.int64),
+            }
+        )
 
 
 def infection_day_counts(
@@ -276,36 +390,39 @@ def infection_day_counts(
 
     Equal to joining ``infection_draws`` to the tests and counting, but the (draws x persons)
     rows stay in the task that draws them: a block already carries the tests of its persons.
+    The blocks of a task come sorted by parameter block, whose counts leave the task once.
     """
     cells = Cells(scenarios, step, cap, truncation)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
         for row in _block_rows(batches):
-            sampler = _Sampler(cells, row, seed)
             person = np.repeat(np.arange(len(row.size_)), row.size_)
             if not len(person):
                 continue
+            sampler = _Sampler(cells, row, seed)
+            key = (row.scenario, row.cohort, row.param_block)
+            if held is not None and (held.key != key or held.total.size > HELD_COUNTS):
+                yield held.rows()
+                held = None
+            held = held or _DayCounts(key, sampler.draws)
             tested, n = ONSET_DAY + row.day.astype(np.int64), row.n.astype(float)
-            for draws, days in sampler.infection_days():
+            for at, days in sampler.infection_days():
                 x = tested[:, None] - np.rint(days).astype(np.int64)[person]
-                first, width = x.min(), x.max() - x.min() + 1
-                at = (np.arange(len(draws)) * width + (x - first)).ravel()
-                size = len(draws) * width
-                total = np.bincount(at, np.repeat(n, len(draws)), size)
-                pos = np.bincount(at, np.repeat(n * row.pos, len(draws)), size)
-                seen = np.flatnonzero(total)
-                yield pd.DataFrame(
-                    {
-                        "scenario": row.scenario,
-                        "cohort": row.cohort,
-                        "draw": draws[seen // width],
-                        "x": (seen % width + first).astype(np.int32),
-                        "pos": pos[seen].astype(np.int64),
-                        "n": total[seen].astype(np.int64),
-                    }
-                )
-
-    met = join_params(person_blocks, param_blocks(draws), "block", PARAM_BLOCK)
+                if x.max() - x.min() > WIDE_DAYS:  # days far apart: no dense counts over them
+                    for i in range(len(x)):
+                        lone = _DayCounts(key, sampler.draws[at : at + x.shape[1]])
+                        lone.add(0, x[i : i + 1], n[i : i + 1], n[i : i + 1] * row.pos[i])
+                        yield lone.rows()
+                else:
+                    if held.total.shape[1] and max(held.first + held.total.shape[1], x.max()) - min(held.first, x.min()) > WIDE_DAYS:
+                        yield held.rows()
+                        held = _DayCounts(key, sampler.draws)
+                    held.add(at, x, n, n * row.pos)
+        if held is not None:
+            yield held.rows()
+
+    met = _met_with_draws(draws, person_blocks).sortWithinPartitions("scenario", "cohort", "param_block")
     return (
         met.mapInPandas(count, "scenario string, cohort string, draw long, x int, pos long, n long")
         .groupBy("scenario", "cohort", "draw", "x")

@@ -10,7 +10,7 @@ from onsetlens.operators.cohorts import COHORTS, Cohort, counted_tests
 from onsetlens.session import parallel_tasks
 
 BLOCK_ROWS = 256
-TASK_ROWS = 250_000  # persons a task of the likelihood takes at most, on average
+TASK_ROWS = 64_000_000  # persons times parameter rows a task takes at most, on average
 
 
 def person_entries(tests: DataFrame, cohorts: Sequence[Cohort] = COHORTS) -> DataFrame:
@@ -34,9 +34,10 @@ def patterns(persons: DataFrame) -> DataFrame:
     return persons.groupBy("cohort", "bound", "entries").agg(F.count(F.lit(1)).alias("weight"))
 
 
-def block_tasks(persons: DataFrame) -> int:
-    """Tasks for the blocks of a materialised table: all cores, and more as it grows."""
-    return max(parallel_tasks(persons.sparkSession), -(-persons.count() // TASK_ROWS))
+def block_tasks(persons: DataFrame, param_rows: int = 256) -> int:
+    """Tasks for the blocks of a materialised table that meet ``param_rows`` parameter rows (or
+    draws) of their cohort: all cores, and more as the product grows."""
+    return max(parallel_tasks(persons.sparkSession), -(-persons.count() * param_rows // TASK_ROWS))
 
 
 def blocks(

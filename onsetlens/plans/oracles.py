@@ -229,24 +229,36 @@ def _with(*parts: str, select: str, recursive: bool = False) -> str:
     return head + ",\n".join(textwrap.dedent(p).strip() for p in parts) + "\n" + textwrap.dedent(select).strip()
 
 
-def _fifth(v: str) -> str:
-    """x^5 modulo the prime, every product below 2^62."""
-    square = f"(({v}) * ({v}) % {_PRIME})"
-    return f"({square} * {square} % {_PRIME} * ({v}) % {_PRIME})"
+_WORD = "18446744073709551616::UHUGEINT"
+
+
+def _wrapped(product: str) -> str:
+    """A sum or product of 128-bit words as a 64-bit word."""
+    return f"CAST(({product}) % {_WORD} AS UBIGINT)"
+
+
+def _mixed(source: str, keep: str) -> str:
+    """The 64-bit mixer on column v of ``source``, a step per nested query."""
+    for shift, factor in ((30, "13787848793156543929"), (27, "10723151780598845931")):
+        product = _wrapped(f"xor(v, v >> {shift})::UHUGEINT * {factor}::UHUGEINT")
+        source = f"(SELECT {keep}, {product} AS v FROM {source})"
+    return f"(SELECT {keep}, xor(v, v >> 31) AS v FROM {source})"
+
+
+def _uniforms(draws: str, persons: str = "bounds", seed: int = 7) -> str:
+    """One uniform per person and draw; ``draws`` has (cohort, draw)."""
+    step = "11400714819323198485::UHUGEINT"
+    started = f"(SELECT cohort, num_id, {_wrapped(f'num_id::UHUGEINT + {step}')} AS v FROM {persons})"
+    name = _wrapped(f"md5_number_lower('base/' || cohort)::UHUGEINT + {seed} * {step}")
+    keyed = f"(SELECT cohort, num_id, xor(v, {name}) AS v FROM {_mixed(started, 'cohort, num_id')})"
+    counter = _wrapped(f"v::UHUGEINT + {_wrapped(f'(draw + 1)::UHUGEINT * {step}')}::UHUGEINT")
+    met = f"(SELECT cohort, num_id, draw, {counter} AS v FROM {_mixed(keyed, 'cohort, num_id')} JOIN {draws} USING (cohort))"
+    mixed = _mixed(met, "cohort, num_id, draw")
+    return f"uniforms AS (SELECT cohort, num_id, draw, ((v >> 12)::DOUBLE + 0.5::DOUBLE) / 4503599627370496 AS u FROM {mixed})"
 
 
 _SAMPLED = f"""
-hashed AS (
-  SELECT cohort, num_id, param_id, inc_lower_bound, (v + 7 + 1) % {_PRIME} AS v
-  FROM (SELECT cohort, num_id, param_id, inc_lower_bound, {_fifth('v')} AS v
-        FROM (SELECT cohort, num_id, param_id, inc_lower_bound, (v + param_id % {_PRIME} * 16807) % {_PRIME} AS v
-              FROM (SELECT cohort, num_id, inc_lower_bound, {_fifth('v')} AS v
-                    FROM (SELECT *, (num_id % {_PRIME} * 48271 + 7) % {_PRIME} AS v FROM bounds))
-              JOIN lattice USING (cohort)))
-),
-uniforms AS (
-  SELECT cohort, num_id, param_id, ({_fifth('v')} + 0.5::DOUBLE) / {_PRIME} AS u FROM hashed
-),
+{_uniforms('(SELECT cohort, param_id AS draw FROM lattice)')},
 weighed AS (
   SELECT cohort, num_id, param_id, cell, exp(ll + log_w) AS w
   FROM person_cells JOIN bounds USING (cohort, num_id) JOIN grid USING (inc_lower_bound, cell)
@@ -258,7 +270,7 @@ summed AS (
 picked AS (
   SELECT cohort, num_id, param_id, u * max(upto) AS want,
          list(cell ORDER BY cell) AS cells, list(w ORDER BY cell) AS w, list(upto ORDER BY cell) AS upto
-  FROM summed JOIN uniforms USING (cohort, num_id, param_id)
+  FROM summed JOIN (SELECT cohort, num_id, draw AS param_id, u FROM uniforms) USING (cohort, num_id, param_id)
   GROUP BY cohort, num_id, param_id, u
 ),
 placed AS (

@@ -11,6 +11,7 @@ from onsetlens.operators.likelihood import (
     infection_draws,
     marginal_loglik,
     person_uniform,
+    stream_key,
 )
 from onsetlens.operators.persons import blocks, patterns, person_entries
 from onsetlens.operators.summaries import infection_day_positivity
@@ -202,3 +203,31 @@ def test_tests_without_a_day_do_not_count(make_tests, params):
     (with_lone, lone_counts), (without, counts) = tables(rows + lone), tables(rows)
     assert with_lone == pytest.approx(without, rel=1e-12)
     assert lone_counts == counts
+
+
+def test_uniforms_take_the_whole_id_cohort_and_scenario():
+    ids = np.arange(1000, dtype=np.int64)
+    u = person_uniform(stream_key(1, "base", "a"), ids, 5)
+    for other in (ids + 2147483647, ids + (1 << 40), -ids - 1):
+        assert not (person_uniform(stream_key(1, "base", "a"), other, 5) == u).any()
+    for key in (stream_key(2, "base", "a"), stream_key(1, "base", "b"), stream_key(1, "high", "a")):
+        assert abs(np.corrcoef(person_uniform(key, ids, 5), u)[0, 1]) < 0.1
+    pairs = person_uniform(7, ids[:, None], np.arange(50)[None, :])
+    assert len(np.unique(pairs)) == pairs.size and abs(np.corrcoef(pairs[:, 0], pairs[:, 1])[0, 1]) < 0.1
+
+
+def test_copies_are_draws_of_their_own(spark, make_tests, params, monkeypatch):
+    """A row with ``copies`` gives what as many rows with the same parameters give."""
+    tests = make_tests(persons_data())
+    packed = blocks(person_entries(tests, EVERYONE), "num_id", 30, size=16)
+    chosen = params.where("cohort = 'a'").selectExpr("*", "CASE param_id WHEN 0 THEN 0 WHEN 1 THEN 3 ELSE 10 END AS first")
+    copied = chosen.selectExpr("*", "CASE param_id WHEN 0 THEN 3L WHEN 1 THEN 7L ELSE 300L END AS copies")
+    single = copied.selectExpr(
+        "cohort", "explode(sequence(first, first + CAST(copies AS INT) - 1)) AS draw", "beta1", "beta2", "beta3", "cutpoint"
+    ).withColumnRenamed("draw", "param_id")
+    key = ["draw", "num_id", "inf_day"]
+    a, b = (sorted(map(tuple, infection_draws(d, packed, seed=4).select(key).collect())) for d in (copied, single))
+    assert a == b and len(a) == 310 * 122
+    wanted = sorted(map(tuple, infection_day_counts(single, packed, seed=4).collect()))
+    monkeypatch.setattr(likelihood, "HELD_COUNTS", 10)
+    assert sorted(map(tuple, infection_day_counts(copied, packed, seed=4).collect())) == wanted
