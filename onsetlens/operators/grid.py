@@ -44,9 +44,11 @@ def incubation_grid(
     scenarios: Sequence[Scenario] = (BASE,),
     step: float = STEP,
     cap: int = CAP,
+    truncation: str = "person",
 ) -> DataFrame:
     """(scenario, inc_lower_bound, inc, log_w): weights of the cells above each bound sum to 1.
 
+    With ``truncation="joint"`` the weights of all cells do, also of those not above the bound.
     At most scenarios x cap x cells rows, whatever the number of persons.
     """
     cells = cell_count(step, cap)
@@ -59,7 +61,7 @@ def incubation_grid(
         .distinct()
         .select("inc_lower_bound", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"))
         .select("inc_lower_bound", ((F.col("cell") + 0.5) * step).alias("inc"))
-        .where(F.col("inc") > F.col("inc_lower_bound"))
+        .where(F.lit(truncation == "joint") | (F.col("inc") > F.col("inc_lower_bound")))
         .select("*", F.inline(priors))
         .withColumn("log_k", lognormal_log_kernel(F.col("inc"), F.col("mu"), F.col("sd")))
     )
@@ -68,6 +70,7 @@ def incubation_grid(
     return (
         raw.withColumn("top", top)
         .withColumn("total", F.sum(F.exp(F.col("log_k") - F.col("top"))).over(group))
+        .where(F.col("inc") > F.col("inc_lower_bound"))
         .select(
             "scenario",
             "inc_lower_bound",

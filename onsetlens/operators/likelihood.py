@@ -14,8 +14,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from onsetlens.operators.grid import BASE, CAP, STEP, Scenario, cell_count
-from onsetlens.operators.model import PARAMETERS, join_params
+from onsetlens.functions.density import bernoulli_logit, curve_logit
+from onsetlens.operators.grid import BASE, CAP, STEP, Scenario, cell_count, incubation_grid
+from onsetlens.operators.model import BROADCAST_ROWS, PARAMETERS, join_params
+from onsetlens.session import materialise, parallel_tasks
 from onsetlens.sources.schema import ONSET_DAY
 
 PARAM_BLOCK = 256
@@ -184,6 +186,68 @@ def marginal_loglik(
     )
 
 
+def marginal_loglik_relational(
+    params: DataFrame,
+    patterns: DataFrame,
+    scenarios: Sequence[Scenario] = (BASE,),
+    step: float = STEP,
+    cap: int = CAP,
+    truncation: str = "person",
+) -> DataFrame:
+    """``marginal_loglik`` from ``patterns`` by joins and aggregates inside the JVM.
+
+    The likelihood of a test is found once per (cohort, day, result, parameter row) and cell.
+    Patterns are dealt out by their hash, and everything that follows (their tests meet those
+    terms, cells are summed over tests, meet the incubation grid above the bound and are folded
+    to the log of their sum) groups by more columns than that, so no other row of a pattern is
+    shuffled.  Patterns whose bound leaves no cell do not count.  It multiplies tests by
+    parameter rows and cells; the kernel of ``marginal_loglik`` is for many parameter rows.
+    """
+    spark = patterns.sparkSession
+    given = "scenario" in params.columns
+    thetas = params if given else params.withColumn("scenario", F.lit(BASE.name))
+    placeable = patterns.where(F.col("bound") < cap).withColumn("key", F.xxhash64("bound", "entries"))
+    dealt = (
+        placeable.repartition(parallel_tasks(spark), "cohort", "key")
+        .withColumn("row", F.monotonically_increasing_id())  # tells rows apart whose hashes collide
+        .select("cohort", "key", "row", "bound", "weight", F.inline("entries"))
+    )
+    seen = placeable.select("cohort", F.inline("entries")).select("cohort", "day", "pos").distinct()
+    cells = F.explode(F.sequence(F.lit(0), F.lit(cell_count(step, cap) - 1))).alias("cell")
+    t = F.col("day") + (F.col("cell") + 0.5) * step
+    value = bernoulli_logit(F.col("pos") == 1, curve_logit(t, *[F.col(name) for name in PARAMETERS]))
+    terms = join_params(seen, thetas.select("scenario", "cohort", "param_id", *PARAMETERS, cells), "day", cell_count(step, cap))
+    terms = (
+        terms.withColumn("value", F.when(t < 0, 0.0).otherwise(value) if truncation == "joint" else value)
+        .groupBy("scenario", "cohort", "param_id", "day", "pos")
+        .agg(F.array_sort(F.collect_list(F.struct("cell", "value")))["value"].alias("values"))
+    )
+    terms = materialise(terms, "terms")  # a row per day, result and parameter row, counted before it is sent
+    if terms.count() * cell_count(step, cap) <= BROADCAST_ROWS * len(PARAMETERS):
+        terms = F.broadcast(terms)
+    every_bound = spark.range(cap).select(F.col("id").cast("int").alias("inc_lower_bound"))
+    grid = incubation_grid(every_bound, scenarios, step, cap, truncation)
+    grid = grid.withColumn("cell", F.rint(F.col("inc") / step - 0.5).cast("int")).drop("inc")
+    pattern = ["scenario", "cohort", "key", "row", "bound", "weight", "param_id"]
+    summed = (
+        dealt.join(terms, ["cohort", "day", "pos"])
+        .select(*pattern, "n", F.posexplode("values").alias("cell", "value"))
+        .groupBy(*pattern, "cell")
+        .agg(F.sum(F.col("n") * F.col("value")).alias("value"))
+        .withColumnRenamed("bound", "inc_lower_bound")
+        .join(F.broadcast(grid), ["scenario", "inc_lower_bound", "cell"])  # at most scenarios x cap x cells rows
+    )
+    pattern[pattern.index("bound")] = "inc_lower_bound"
+    folded = (
+        summed.groupBy(*pattern)
+        .agg(F.collect_list(F.col("value") + F.col("log_w")).alias("of_cells"))  # at most one value per cell
+        .withColumn("top", F.array_max("of_cells"))
+    )
+    total = F.aggregate("of_cells", F.lit(0.0), lambda held, v: held + F.exp(v - F.col("top")))
+    person = F.col("weight") * (F.col("top") + F.log(total))
+    return folded.groupBy("scenario", "cohort", "param_id").agg(F.sum(person).alias("loglik"))
+
+
 # Fixed values of the 64-bit mixer below: odd step and two multipliers (splitmix64).
 _STEP, _FIRST, _SECOND = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 _WORD = (1 << 64) - 1

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+
+from onsetlens.operators.model import PARAMETERS, curve
 
 _TAILS = [0.025, 0.5, 0.975]
 
@@ -19,7 +21,8 @@ def _copies(df: DataFrame):
 def parameter_summary(draws: DataFrame) -> DataFrame:
     """Median, mean and 95 % limits of the four parameters, and of ``inc1`` where it is given.
 
-    ``inc1`` is the incubation period of the person with the lowest id.
+    ``inc1`` is the incubation period of the person with the lowest id; its figures are null
+    where that person cannot be placed.
     """
     # The names under which the parameters are reported.
     names = {"Cutpoint": "cutpoint", "Beta1": "beta1", "Beta2": "beta2", "Beta3": "beta3", "Inc1": "inc1"}
@@ -31,7 +34,7 @@ def parameter_summary(draws: DataFrame) -> DataFrame:
     limits = F.percentile("value", _TAILS, F.col("copies"))
     return (
         long.groupBy(*_keys(draws, "Parameter"))
-        .agg(limits.alias("q"), (F.sum(F.col("value") * F.col("copies")) / F.sum("copies")).alias("mean"))
+        .agg(limits.alias("q"), F.try_divide(F.sum(F.col("value") * F.col("copies")), F.sum("copies")).alias("mean"))
         .select(
             *_keys(draws, "Parameter"),
             F.col("q")[1].alias("median"),
@@ -42,16 +45,16 @@ def parameter_summary(draws: DataFrame) -> DataFrame:
     )
 
 
-def curve_summary(curve: DataFrame) -> DataFrame:
+def curve_summary(points: DataFrame) -> DataFrame:
     """Median and 95 % band per cohort and tenth of a day.
 
     A group holds one value per distinct parameter row, which is bounded by the fit.
     """
     return (
-        curve.groupBy(*_keys(curve, "k"))
-        .agg(F.percentile("p", _TAILS, _copies(curve)).alias("q"))
+        points.groupBy(*_keys(points, "k"))
+        .agg(F.percentile("p", _TAILS, _copies(points)).alias("q"))
         .select(
-            *_keys(curve),
+            *_keys(points),
             (F.col("k") / 10).alias("days_since_infection"),
             F.col("q")[1].alias("median"),
             F.col("q")[0].alias("lower_95"),
@@ -100,3 +103,27 @@ def empirical_curve(counts: DataFrame) -> DataFrame:
             F.col("q")[0].alias("bottom"),
         )
     )
+
+
+def weighted_curve_summary(weights: DataFrame, k_max: int = 500) -> DataFrame:
+    """``curve_summary`` straight from weighted parameter rows, without resampled copies.
+
+    A quantile is the smallest value at which the running weight reaches its share.  Rows of no
+    weight are left out first; a group holds one value per parameter row of the fit.
+    """
+    key = _keys(weights)
+    points = curve(weights.where("weight > 0").select(*key, "param_id", "weight", *PARAMETERS), k_max)
+    ranked = Window.partitionBy(*key, "k").orderBy("p", "param_id")
+    upto = F.sum("weight").over(ranked.rowsBetween(Window.unboundedPreceding, 0))
+    return (
+        points.withColumn("upto", upto)
+        .groupBy(*key, "k")
+        .agg(*[F.min(F.when(F.col("upto") >= share, F.col("p"))).alias(f"q{i}") for i, share in enumerate(_TAILS)])
+        .select(
+            *key,
+            (F.col("k") / 10).alias("days_since_infection"),
+            F.col("q1").alias("median"),
+            F.col("q0").alias("lower_95"),
+            F.col("q2").alias("upper_95"),
+        )
+    )

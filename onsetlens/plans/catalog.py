@@ -10,8 +10,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from onsetlens.operators import cohorts as C
 from onsetlens.operators.align import align_days
 from onsetlens.operators.bounds import infection_bounds, unplaceable_persons
-from onsetlens.operators.grid import CAP, SCENARIOS, incubation_grid
-from onsetlens.operators.likelihood import infection_day_counts, infection_draws, marginal_loglik
+from onsetlens.operators.diagnostics import tail_shape
+from onsetlens.operators.grid import BASE, CAP, SCENARIOS, incubation_grid
+from onsetlens.operators.likelihood import (
+    infection_day_counts,
+    infection_draws,
+    marginal_loglik,
+    marginal_loglik_relational,
+    packed_infection_draws,
+    unpacked,
+)
 from onsetlens.operators.model import curve, param_logprior, test_loglik
 from onsetlens.operators.panels import panels
 from onsetlens.operators.persons import blocks, patterns, person_entries
@@ -24,13 +32,19 @@ from onsetlens.operators.summaries import (
     infection_day_positivity,
     parameter_summary,
 )
-from onsetlens.plans.analysis import analyse
-from onsetlens.plans.fit import FitSettings
-from onsetlens.plans.inputs import day_params, given_infection_days, lattice_params
+from onsetlens.plans.analysis import analyse, analyse_rows
+from onsetlens.plans.inputs import day_params, given_infection_days, lattice_params, posterior_lattice
 from onsetlens.plans.sensitivity import prior_sensitivity
 from onsetlens.session import configure, materialise, scratch_path
 from onsetlens.sources.checks import check_values
-from onsetlens.sources.sinks import read_csv, read_draws, write_csv, write_draws
+from onsetlens.sources.sinks import (
+    read_csv,
+    read_draws,
+    read_infection_draws,
+    write_csv,
+    write_draws,
+    write_infection_draws,
+)
 from onsetlens.sources.tables import bind_events, bind_tables
 from onsetlens.sources.tests_csv import load_tests
 
@@ -38,7 +52,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 DRAWS_GIVEN = 20  # supplied draws of the infection day per person
 RESAMPLED = 1000  # equal draws per cohort in the resampling queries
-QUICK = FitSettings(rows=256, final_rows=512)
+LATTICE_DRAWS = 100  # draws of every person in the empirical curve of the lattice posterior
+LATTICE_START = 0.31830988  # place of the first draw between two
 
 
 def _tests(spark: SparkSession, folder: str) -> DataFrame:
@@ -287,14 +302,69 @@ def q_prior_sensitivity(spark, folder):
     )
 
 
+def q_marginal_loglik_relational(spark, folder):
+    tests = _tests(spark, folder)
+    found = marginal_loglik_relational(_lattice(tests), patterns(person_entries(tests)))
+    return _rounded(found, 6, "loglik").drop("scenario")
+
+
+def q_write_infection_draws(spark, folder):
+    """The infection days of every person as Parquet by cohort and bucket, read back."""
+    tests = _tests(spark, folder)
+    packed = blocks(person_entries(tests), "num_id", CAP)
+    path = scratch_path(spark, "infection-days")
+    write_infection_draws(packed_infection_draws(_lattice(tests), packed, seed=7), path, buckets=5)
+    return _rounded(unpacked(read_infection_draws(spark, path)), 6, "inf_day").drop("scenario")
+
+
+def _lattice_analysis(spark, folder, scenarios=(BASE,)):
+    tests = _tests(spark, folder)
+    rows = materialise(posterior_lattice(tests), "lattice")
+    return analyse_rows(
+        tests, rows, scenarios=scenarios, draws=RESAMPLED, empirical_draws=LATTICE_DRAWS, seed=7, u0=LATTICE_START
+    )
+
+
+def q_tail_shape(spark, folder):
+    """Tail of the weights of the day rows."""
+    weights = posterior_weights(_scored(spark, folder)).withColumn("scenario", F.lit(BASE.name))
+    return _rounded(tail_shape(weights), 6, "ess", "tail_shape").drop("scenario")
+
+
+def q_fit_report(spark, folder):
+    """Counts, losses and quality of the lattice posterior, a row per declared cohort."""
+    return _rounded(_lattice_analysis(spark, folder).report(), 6, "ess", "ess_share", "tail_shape")
+
+
+def q_lattice_parameters(spark, folder):
+    """Five parameters per cohort, the incubation period of the first person among them."""
+    found = _lattice_analysis(spark, folder).parameters()
+    return _rounded(found, 7, "median", "mean", "CI95Low", "CI95Up").drop("scenario")
+
+
+def q_lattice_empirical(spark, folder):
+    """The empirical curve over infection days drawn from the lattice posterior."""
+    return _rounded(_lattice_analysis(spark, folder).empirical(), 9, "top", "mean", "bottom").drop("scenario")
+
+
+def q_lattice_panels(spark, folder):
+    """Curves and empirical curves of the lattice posterior, labelled by panel."""
+    return _rounded(_lattice_analysis(spark, folder).panels(), 9, "y", "top", "bottom")
+
+
+def q_scenario_curves(spark, folder):
+    """Curve bands per incubation scenario, from the weights of the lattice."""
+    return _rounded(_lattice_analysis(spark, folder, SCENARIOS).weighted_curves(), 9, "median", "lower_95", "upper_95")
+
+
 def q_fit_parameters(spark, folder):
     """Posterior summary of the parameters of every cohort."""
-    return analyse(_tests(spark, folder), settings=QUICK, draws=4000, empirical_draws=100).parameters()
+    return analyse(_tests(spark, folder)).parameters()
 
 
 def q_fit_panels(spark, folder):
     """Posterior curves and empirical curves of every cohort, labelled by panel."""
-    return analyse(_tests(spark, folder), settings=QUICK, draws=4000, empirical_draws=100).panels()
+    return analyse(_tests(spark, folder)).panels()
 
 
 def _configured(query: Query) -> Query:
@@ -340,7 +410,15 @@ _QUERIES: dict[str, Query] = {
     "transpose": q_transpose,
     "write_summary": q_write_summary,
     "write_draws": q_write_draws,
+    "write_infection_draws": q_write_infection_draws,
     "prior_sensitivity": q_prior_sensitivity,
+    "marginal_loglik_relational": q_marginal_loglik_relational,
+    "tail_shape": q_tail_shape,
+    "fit_report": q_fit_report,
+    "lattice_parameters": q_lattice_parameters,
+    "lattice_empirical": q_lattice_empirical,
+    "lattice_panels": q_lattice_panels,
+    "scenario_curves": q_scenario_curves,
     "fit_parameters": q_fit_parameters,
     "fit_panels": q_fit_panels,
 }

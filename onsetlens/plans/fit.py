@@ -135,12 +135,13 @@ def _moments(temper_share: float, widen: float):
 _STATE = "scenario string, cohort string, power double, share double, centre array<double>, root array<array<double>>"
 
 
-def pattern_blocks(persons: DataFrame, cap: int = CAP) -> DataFrame:
+def pattern_blocks(persons: DataFrame, cap: int = CAP, param_rows: int = 256) -> DataFrame:
     """Everything the fit reads of the persons, written once for all rounds.
 
-    ``persons`` is a materialised table: it is counted to choose the number of tasks.
+    ``persons`` is a materialised table: it is counted to choose the number of tasks, which
+    follows from the parameter rows of the last round too.
     """
-    return checkpoint_tasks(blocks(patterns(persons), "weight", cap, tasks=block_tasks(persons)))
+    return checkpoint_tasks(blocks(patterns(persons), "weight", cap, tasks=block_tasks(persons, param_rows)))
 
 
 def single_test_blocks(prepared: DataFrame, cap: int = CAP) -> DataFrame:
@@ -167,9 +168,13 @@ def fit_blocks(
     cap: int = CAP,
     truncation: str = "person",
     trace: list | None = None,
+    progress: list | None = None,
 ) -> DataFrame:
     """Weighted parameter rows per scenario and cohort, from ``pattern_blocks``.
 
+    ``progress`` receives (scenario, cohort, rounds, power, converged) of the last adaptation:
+    a cohort that ``max_rounds`` left tempered, or with few effective rows, has not converged.
+
     Most rounds only look for the region of the posterior.  They run on single tests, a table
     that does not grow with the number of persons; the likelihood itself takes over from there.
     """
@@ -183,6 +188,7 @@ def fit_blocks(
             "cohort": cohort,
             "centre": _START[0],
             "root": np.diag(_START[1]).tolist(),
+            "power": 0.0,
         }
         for s in scenarios
         for cohort in present
@@ -198,6 +204,8 @@ def fit_blocks(
 
     def adapt(data, stage, rows, share, enough):
         active = sorted(states)
+        for state in states.values():
+            state["rounds"], state["converged"] = 0, False
         for number in range(settings.max_rounds):
             if not active:
                 break
@@ -206,7 +214,8 @@ def fit_blocks(
             moments = scored.groupBy(*key).applyInPandas(_moments(share, settings.widen), _STATE)
             found = moments.collect()  # one row per cohort and scenario
             for row in found:
-                states[row["scenario"], row["cohort"]] = row.asDict()
+                done = row["power"] >= 1 and row["share"] >= enough
+                states[row["scenario"], row["cohort"]] = row.asDict() | {"rounds": number + 1, "converged": done}
             if trace is not None:
                 trace.append({(r["scenario"], r["cohort"]): (r["power"], r["share"]) for r in found})
             active = sorted(
@@ -217,6 +226,8 @@ def fit_blocks(
     for state in states.values():
         state["root"] = [[settings.loosen * v for v in r] for r in state["root"]]
     adapt(prepared, 1, settings.rows, settings.temper_share, settings.enough_share)
+    if progress is not None:
+        progress += [(*k, s["rounds"], float(s["power"]), s["converged"]) for k, s in sorted(states.items())]
     final = score(prepared, sorted(states), settings.final_rows, settings.seed * 1000 + 999, fast=False)
     return posterior_weights(materialise(final, "posterior"))
 
@@ -231,5 +242,5 @@ def fit(
     truncation: str = "person",
 ) -> DataFrame:
     """(scenario, cohort, param_id, parameters, loglik, logprior, logproposal, weight, ess)."""
-    prepared = pattern_blocks(materialise(person_entries(tests, cohorts), "persons"), cap)
+    prepared = pattern_blocks(materialise(person_entries(tests, cohorts), "persons"), cap, settings.final_rows)
     return fit_blocks(prepared, scenarios, settings, step, cap, truncation)

@@ -57,6 +57,23 @@ def lattice_params(tests: DataFrame, cohorts: Sequence[Cohort] = COHORTS, rows:
     )
 
 
+def posterior_lattice(tests: DataFrame, cohorts: Sequence[Cohort] = COHORTS) -> DataFrame:
+    """Parameter rows a posterior deviation or so apart, three heights by two bends by two tops."""
+    total = positive_counts(tests, "days_since_onset", cohorts).groupBy("cohort").agg(
+        F.sum("x").alias("x"), F.sum("n").alias("n")
+    )
+    height, rest = F.floor(F.col("param_id") / 4), F.pmod("param_id", F.lit(4))
+    bend, top = F.floor(rest / 2), F.pmod("param_id", F.lit(2))
+    return total.withColumn("param_id", F.explode(F.expr("sequence(0L, 11L)"))).select(
+        "cohort",
+        "param_id",
+        (F.log((F.col("x") + 0.5) / (F.col("n") - F.col("x") + 0.5)) + 1.5 * height / F.sqrt("n")).alias("beta1"),
+        (-0.0002 * (1 + bend)).alias("beta2"),
+        (-0.0001 * (1 + bend)).alias("beta3"),
+        (4.0 + 3 * top).alias("cutpoint"),
+    )
+
+
 def given_infection_days(
     tests: DataFrame, draws: int, cohorts: Sequence[Cohort] = COHORTS
 ) -> DataFrame:

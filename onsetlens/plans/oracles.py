@@ -283,6 +283,133 @@ sampled AS (
 )"""
 
 
+_POSTERIOR_LATTICE = """
+lattice AS (
+  SELECT cohort, param_id,
+         ln((x + 0.5) / (n - x + 0.5)) + 1.5::DOUBLE * (param_id // 4) / sqrt(n) AS beta1,
+         -0.0002::DOUBLE * (1 + param_id % 4 // 2) AS beta2,
+         -0.0001::DOUBLE * (1 + param_id % 4 // 2) AS beta3,
+         4.0::DOUBLE + 3 * (param_id % 2) AS cutpoint
+  FROM (SELECT cohort, CAST(sum(x) AS BIGINT) AS x, CAST(sum(n) AS BIGINT) AS n FROM counts GROUP BY cohort),
+       (SELECT range AS param_id FROM range(12))
+)"""
+
+_LATTICE_WEIGHTS = f"""
+totals AS MATERIALIZED (SELECT scenario, cohort, param_id, sum(ll) AS loglik FROM person_loglik GROUP BY ALL),
+weighted AS (
+  SELECT *, raw / sum(raw) OVER (PARTITION BY scenario, cohort) AS weight,
+         sum(raw) OVER (PARTITION BY scenario, cohort) * sum(raw) OVER (PARTITION BY scenario, cohort)
+           / sum(raw * raw) OVER (PARTITION BY scenario, cohort) AS ess
+  FROM (SELECT *, exp(log_weight - max(log_weight) OVER (PARTITION BY scenario, cohort)) AS raw
+        FROM (SELECT *, loglik + {_prior()} AS log_weight FROM totals JOIN lattice USING (cohort, param_id)))
+)"""
+
+
+def _drawn(n: int) -> str:
+    """n equal draws per cohort from the lattice weights."""
+    return f"""
+drawn AS MATERIALIZED (
+  SELECT cohort, unnest(range(first, last)) AS draw, param_id, beta1, beta2, beta3, cutpoint
+  FROM (SELECT *, coalesce(lag(last) OVER (PARTITION BY cohort ORDER BY param_id), 0) AS first
+        FROM (SELECT *, CAST(least(greatest(ceil(upto * {n} - 0.31830988::DOUBLE), 0), {n}) AS BIGINT) AS last
+              FROM (SELECT *, sum(weight) OVER (PARTITION BY cohort ORDER BY param_id ROWS UNBOUNDED PRECEDING) AS upto FROM weighted)))
+)"""
+
+
+def _days_drawn(persons: str) -> str:
+    """An infection day for every draw of ``persons`` (cohort, num_id)."""
+    return f"""
+chosen AS ({persons}),
+{_uniforms('(SELECT cohort, draw FROM drawn)', 'chosen')},
+weighed AS (
+  SELECT cohort, num_id, param_id, cell, exp(ll + log_w) AS w
+  FROM person_cells JOIN chosen USING (cohort, num_id) JOIN bounds USING (cohort, num_id) JOIN grid USING (inc_lower_bound, cell)
+),
+summed AS (
+  SELECT *, sum(w) OVER (PARTITION BY cohort, num_id, param_id ORDER BY cell ROWS UNBOUNDED PRECEDING) AS upto
+  FROM weighed
+),
+lists AS MATERIALIZED (
+  SELECT cohort, num_id, param_id, max(upto) AS total,
+         list(cell ORDER BY cell) AS cells, list(w ORDER BY cell) AS w, list(upto ORDER BY cell) AS upto
+  FROM summed GROUP BY cohort, num_id, param_id
+),
+wanted AS (
+  SELECT cohort, num_id, draw, cells, w, upto, u * total AS want
+  FROM lists JOIN drawn USING (cohort, param_id) JOIN uniforms USING (cohort, num_id, draw)
+),
+placed AS (
+  SELECT *, least(len(list_filter(upto, lambda s: s <= want)) + 1, len(upto)) AS place FROM wanted
+),
+days AS (
+  SELECT cohort, draw, num_id,
+         30 - (cells[place] + (want - (upto[place] - w[place])) / w[place]) * 0.5::DOUBLE AS inf_day
+  FROM placed
+)"""
+
+
+_DRAWN_SHARES = """
+shares AS (
+  SELECT cohort, draw, x, count(*) FILTER (WHERE pcr_result) / count(*) AS share
+  FROM (SELECT cohort, draw, CAST(day_of_test - round_even(inf_day, 0) AS INT) AS x, pcr_result
+        FROM ct JOIN days USING (cohort, num_id))
+  GROUP BY cohort, draw, x
+),
+empirical AS (
+  SELECT cohort, x, quantile_cont(share, 0.975) AS top, avg(share) AS mean, quantile_cont(share, 0.025) AS bottom
+  FROM shares WHERE x >= 0 GROUP BY cohort, x
+)"""
+
+
+def _lattice_parts(scenarios) -> list[str]:
+    return [
+        _TESTS, _CT, _BOUNDS, _COUNTS, _POSTERIOR_LATTICE, _grid(scenarios), _person_cells(), _PERSON_LOGLIK,
+        _LATTICE_WEIGHTS,
+    ]
+
+
+def _points(source: str) -> str:
+    """Positivity at 0.0 to 50.0 days of the parameter rows of ``source``."""
+    t = "(k / 10.0::DOUBLE - cutpoint)"
+    return f"""(SELECT *, 1 / (1 + exp(-(beta1 + (CASE WHEN k / 10.0::DOUBLE < cutpoint THEN beta2 ELSE beta3 END) * {t} * {t}))) AS p
+    FROM {source}, (SELECT CAST(range AS INT) AS k FROM range(501)))"""
+
+
+_TAIL = """
+ranked AS (
+  SELECT cohort, weight, row_number() OVER (PARTITION BY cohort ORDER BY weight DESC, param_id) AS place FROM weights
+),
+sizes AS (
+  SELECT cohort, count(*) AS rows, count(*) FILTER (WHERE weight > 0) AS possible_rows, any_value(ess) AS ess,
+         CAST(least(floor(0.2::DOUBLE * count(*)), ceil(3 * sqrt(count(*)))) AS BIGINT) AS m
+  FROM weights GROUP BY cohort
+),
+marks AS (
+  SELECT cohort, m, max(weight) FILTER (WHERE place = m + 1) AS cutoff, max(weight) AS most,
+         max(weight) FILTER (WHERE place = m + 1 - floor(m / 4 + 0.5)) AS quarter
+  FROM ranked JOIN sizes USING (cohort) GROUP BY cohort, m
+),
+excess AS (
+  SELECT cohort, m, most - cutoff AS most, quarter - cutoff AS quarter, weight - cutoff AS x
+  FROM ranked JOIN marks USING (cohort) WHERE place <= m AND m >= 5 AND quarter > cutoff
+),
+profile AS (
+  SELECT cohort, theta, k, m * (ln(-theta / k) - k - 1) AS loglik
+  FROM (SELECT cohort, m, theta, sum(ln(1 - theta * x)) / m AS k
+        FROM (SELECT *, 1 / most + (1 - sqrt((30 + floor(sqrt(m))) / (point - 0.5))) / (3 * quarter) AS theta
+              FROM (SELECT *, unnest(range(1, 31 + CAST(floor(sqrt(m)) AS BIGINT))) AS point FROM excess))
+        GROUP BY cohort, m, point, theta)
+),
+chosen AS (
+  SELECT cohort, sum(w * theta) / sum(w) AS theta
+  FROM (SELECT *, exp(loglik - max(loglik) OVER (PARTITION BY cohort)) AS w FROM profile) GROUP BY cohort
+),
+tails AS (
+  SELECT cohort, (avg(ln(1 - theta * x)) * m + 5) / (m + 10) AS tail_shape
+  FROM excess JOIN chosen USING (cohort) GROUP BY cohort, m
+)"""
+
+
 def _interval(counts: str) -> str:
     """Exact limits by bisection on the binomial tail."""
     mass = "exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(p) + (n - i) * ln(1 - p))"
@@ -532,4 +659,93 @@ ORACLES: dict[str, str] = {
         SELECT scenario, cohort, param_id, round(loglik, 6) AS loglik,
                round(raw / sum(raw) OVER (PARTITION BY scenario, cohort), 6) AS weight FROM raised""",
     ),
+    "marginal_loglik_relational": _loglik(False),
+    "write_infection_draws": _with(
+        _TESTS, _CT, _BOUNDS, _COUNTS, _LATTICE, _grid([BASE]), _person_cells(), _SAMPLED,
+        select="SELECT cohort, draw, num_id, round(inf_day, 6) AS inf_day FROM sampled",
+    ),
+    "tail_shape": _with(
+        _TESTS, _CT, _COUNTS, _DAY_PARAMS, _SCORED, _TAIL,
+        select="""
+        SELECT cohort, rows, possible_rows, round(ess, 6) AS ess, m AS tail_rows, round(tail_shape, 6) AS tail_shape
+        FROM sizes LEFT JOIN tails USING (cohort)""",
+    ),
+    "fit_report": _with(
+        *_lattice_parts([BASE]),
+        f"""
+        person_sizes AS (
+          SELECT cohort, num_id, count(*) AS tests, count(pcr_result) AS known FROM ct GROUP BY cohort, num_id
+        ),
+        losses AS (
+          SELECT cohort, sum(tests) AS n_tests, sum(tests - known) AS n_tests_unknown,
+                 sum(CASE WHEN inc_lower_bound >= 30 THEN known ELSE 0 END) AS n_tests_unplaceable, count(*) AS n_persons,
+                 count(*) FILTER (WHERE inc_lower_bound >= 30) AS n_unplaceable,
+                 count(*) FILTER (WHERE known = 0 AND inc_lower_bound < 30) AS n_without_known_test
+          FROM person_sizes JOIN bounds USING (cohort, num_id) GROUP BY cohort
+        ),
+        fitted AS (
+          SELECT cohort, count(*) AS rows, count(*) FILTER (WHERE weight > 0) AS possible_rows, max(ess) AS ess
+          FROM weighted GROUP BY cohort
+        ),
+        declared(cohort) AS (VALUES {", ".join(f"('{c.name}')" for c in COHORTS)})""",
+        select="""
+        SELECT 'base' AS scenario, cohort,
+               CAST(coalesce(n_tests, 0) AS BIGINT) AS n_tests, CAST(coalesce(n_tests_unknown, 0) AS BIGINT) AS n_tests_unknown,
+               CAST(coalesce(n_tests_unplaceable, 0) AS BIGINT) AS n_tests_unplaceable, coalesce(n_persons, 0) AS n_persons,
+               coalesce(n_unplaceable, 0) AS n_unplaceable, coalesce(n_without_known_test, 0) AS n_without_known_test,
+               coalesce(rows, 0) AS rows, coalesce(possible_rows, 0) AS possible_rows,
+               CASE WHEN rows IS NULL THEN 0 ELSE 2 END::BIGINT AS tail_rows, CASE WHEN rows IS NULL THEN 0 ELSE 1 END::BIGINT AS rounds,
+               round(ess, 6) AS ess, round(ess / rows, 6) AS ess_share, CAST(NULL AS DOUBLE) AS tail_shape,
+               CASE WHEN rows IS NOT NULL THEN 1.0::DOUBLE END AS power,
+               CASE WHEN n_persons IS NULL THEN 'no person' WHEN n_unplaceable = n_persons THEN 'no placeable person'
+                    WHEN rows IS NULL THEN 'not fitted' WHEN possible_rows = 0 THEN 'no possible row'
+                    WHEN ess / rows < 0.1 THEN 'few effective rows' ELSE 'ok' END AS verdict
+        FROM declared LEFT JOIN losses USING (cohort) LEFT JOIN fitted USING (cohort)""",
+    ),
+    "lattice_parameters": _with(
+        *_lattice_parts([BASE]), _drawn(1000), _days_drawn("SELECT cohort, min(num_id) AS num_id FROM bounds GROUP BY cohort"),
+        select="""
+        SELECT cohort, Parameter, round(quantile_cont(value, 0.5), 7) AS median, round(avg(value), 7) AS mean,
+               round(quantile_cont(value, 0.025), 7) AS CI95Low, round(quantile_cont(value, 0.975), 7) AS CI95Up
+        FROM (SELECT cohort, cutpoint AS Cutpoint, beta1 AS Beta1, beta2 AS Beta2, beta3 AS Beta3, 30 - inf_day AS Inc1
+              FROM drawn JOIN days USING (cohort, draw))
+        UNPIVOT (value FOR Parameter IN (Cutpoint, Beta1, Beta2, Beta3, Inc1))
+        GROUP BY cohort, Parameter""",
+    ),
+    "lattice_empirical": _with(
+        *_lattice_parts([BASE]), _drawn(100), _days_drawn("SELECT cohort, num_id FROM bounds"), _DRAWN_SHARES,
+        select="""
+        SELECT cohort, x, round(top, 9) AS top, round(mean, 9) AS mean, round(bottom, 9) AS bottom FROM empirical""",
+    ),
+    "lattice_panels": _with(
+        *_lattice_parts([BASE]), _drawn(100), _days_drawn("SELECT cohort, num_id FROM bounds"), _DRAWN_SHARES,
+        _drawn(1000).replace("drawn AS", "many_drawn AS"),
+        f"""
+        legend(cohort, panel, "group", group_ord) AS (VALUES
+          {", ".join(f"('{c.name}', '{c.panel}', '{c.label}', {c.order})" for c in COHORTS)}),
+        curve_summary AS (
+          SELECT cohort, k / 10.0::DOUBLE AS x, quantile_cont(p, 0.5) AS y, quantile_cont(p, 0.975) AS top,
+                 quantile_cont(p, 0.025) AS bottom
+          FROM {_points("many_drawn")} GROUP BY cohort, k
+        )""",
+        select="""
+        SELECT panel, "group", group_ord, series, x, round(y, 9) AS y, round(top, 9) AS top, round(bottom, 9) AS bottom
+        FROM legend JOIN (
+          SELECT cohort, 'curve' AS series, x, y, top, bottom FROM curve_summary
+          UNION ALL
+          SELECT cohort, 'empirical', CAST(x AS DOUBLE), mean, top, bottom FROM empirical) USING (cohort)""",
+    ),
+    "scenario_curves": _with(
+        *_lattice_parts(SCENARIOS),
+        f"""
+        running AS (
+          SELECT scenario, cohort, k, p,
+                 sum(weight) OVER (PARTITION BY scenario, cohort, k ORDER BY p, param_id ROWS UNBOUNDED PRECEDING) AS upto
+          FROM {_points("(SELECT * FROM weighted WHERE weight > 0)")}
+        )""",
+        select="""
+        SELECT scenario, cohort, k / 10.0::DOUBLE AS days_since_infection, round(min(p) FILTER (WHERE upto >= 0.5), 9) AS median,
+               round(min(p) FILTER (WHERE upto >= 0.025), 9) AS lower_95, round(min(p) FILTER (WHERE upto >= 0.975), 9) AS upper_95
+        FROM running GROUP BY scenario, cohort, k""",
+    ),
 }

@@ -10,6 +10,7 @@ from onsetlens.operators.likelihood import (
     infection_day_counts,
     infection_draws,
     marginal_loglik,
+    marginal_loglik_relational,
     person_uniform,
     stream_key,
 )
@@ -231,3 +232,17 @@ def test_copies_are_draws_of_their_own(spark, make_tests, params, monkeypatch):
     wanted = sorted(map(tuple, infection_day_counts(single, packed, seed=4).collect()))
     monkeypatch.setattr(likelihood, "HELD_COUNTS", 10)
     assert sorted(map(tuple, infection_day_counts(copied, packed, seed=4).collect())) == wanted
+
+
+@pytest.mark.parametrize("truncation", ["person", "joint"])
+def test_relational_form_equals_the_kernel(spark, make_tests, params, truncation):
+    rows = [*persons_data(), (2000, -30, True), (2001, -29, True), (2001, 39, False)]
+    found = patterns(person_entries(make_tests(rows), EVERYONE))
+    kernel = marginal_loglik(params, blocks(found, "weight", 30), truncation=truncation).collect()
+    relational = {(r.scenario, r.cohort, r.param_id): r.loglik for r in marginal_loglik_relational(params, found, truncation=truncation).collect()}
+    assert relational == pytest.approx({(r.scenario, r.cohort, r.param_id): r.loglik for r in kernel}, rel=1e-9)
+    names = [s.name for s in SCENARIOS]
+    both = params.selectExpr("*", f"explode(array('{names[1]}', '{names[3]}')) AS scenario")
+    kernel = marginal_loglik(both, blocks(found, "weight", 30), SCENARIOS, truncation=truncation).collect()
+    relational = {(r.scenario, r.param_id): r.loglik for r in marginal_loglik_relational(both, found, SCENARIOS, truncation=truncation).collect()}
+    assert relational == pytest.approx({(r.scenario, r.param_id): r.loglik for r in kernel}, rel=1e-9) and len(relational) == 6
