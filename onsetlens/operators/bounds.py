@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from onsetlens.operators.cohorts import COHORTS, Cohort, with_membership
+from onsetlens.operators.cohorts import COHORTS, Cohort, cohort_names, with_membership
 
 
 def infection_bounds(tests: DataFrame, cohorts: Sequence[Cohort] = COHORTS) -> DataFrame:
@@ -19,7 +19,7 @@ def infection_bounds(tests: DataFrame, cohorts: Sequence[Cohort] = COHORTS) -> D
         with_membership(tests, cohorts)
         .groupBy("num_id", "cohorts")
         .agg(F.min(early).alias("early"), F.min("symp_onset_day").alias("onset"))
-        .select(F.explode("cohorts").alias("cohort"), "num_id", "early", "onset")
+        .select(cohort_names(cohorts), "num_id", "early", "onset")
         .groupBy("cohort", "num_id")
         .agg(F.min("early").alias("early"), F.min("onset").alias("onset"))
         .select(

@@ -51,20 +51,36 @@ COHORTS = (
 )
 
 
+MASK_BITS = 62
+
+
 def with_membership(tests: DataFrame, cohorts: Sequence[Cohort] = COHORTS) -> DataFrame:
-    """Add ``cohorts``, the names of the cohorts a test is in; tests in none are left out.
+    """Add ``cohorts``, a bit per cohort a test is in; tests in none are left out.
 
-    Aggregates group by this column first and fan out over cohorts afterwards, so that rows
+    Aggregates group by this one number first and fan out over cohorts afterwards, so that rows
     are multiplied only once they are few.
     """
-    named = F.array(*[F.when(c.predicate(), F.lit(c.name)) for c in cohorts])
-    return tests.withColumn("cohorts", F.array_compact(named)).where(F.size("cohorts") > 0)
+    if len(cohorts) > MASK_BITS:
+        raise ValueError(f"at most {MASK_BITS} cohorts at once")
+    mask = F.lit(0).cast("long")
+    for bit, cohort in enumerate(cohorts):
+        mask = mask + F.when(cohort.predicate(), F.lit(1 << bit).cast("long")).otherwise(F.lit(0).cast("long"))
+    return tests.withColumn("cohorts", mask).where(F.col("cohorts") != 0)
+
+
+def cohort_names(cohorts: Sequence[Cohort] = COHORTS) -> Column:
+    """The names behind the bits of ``cohorts``, a row each."""
+    named = [
+        F.when(F.col("cohorts").bitwiseAND(F.lit(1 << bit).cast("long")) != 0, F.lit(cohort.name))
+        for bit, cohort in enumerate(cohorts)
+    ]
+    return F.explode(F.array_compact(F.array(*named))).alias("cohort")
 
 
 def assign_cohorts(tests: DataFrame, cohorts: Sequence[Cohort] = COHORTS) -> DataFrame:
     """One row per (cohort, test)."""
     member = with_membership(tests, cohorts)
-    return member.select(F.explode("cohorts").alias("cohort"), *[c for c in member.columns if c != "cohorts"])
+    return member.select(cohort_names(cohorts), *[c for c in member.columns if c != "cohorts"])
 
 
 def counted_tests(tests: DataFrame, cohorts: Sequence[Cohort] = COHORTS) -> DataFrame:
@@ -77,7 +93,7 @@ def counted_tests(tests: DataFrame, cohorts: Sequence[Cohort] = COHORTS) -> Data
         with_membership(tests, cohorts)
         .groupBy("num_id", "cohorts", "symp_onset_day", "day_of_test", "pcr_result")
         .agg(F.count(F.lit(1)).alias("n"))
-        .select(F.explode("cohorts").alias("cohort"), "num_id", "symp_onset_day", "day_of_test", "pcr_result", "n")
+        .select(cohort_names(cohorts), "num_id", "symp_onset_day", "day_of_test", "pcr_result", "n")
     )
 
 
@@ -87,7 +103,7 @@ def cohort_persons(tests: DataFrame, cohorts: Sequence[Cohort] = COHORTS) -> Dat
         with_membership(tests, cohorts)
         .groupBy("num_id", "cohorts")
         .agg(F.count(F.lit(1)).alias("tests"))
-        .select(F.explode("cohorts").alias("cohort"), "num_id", "tests")
+        .select(cohort_names(cohorts), "num_id", "tests")
         .groupBy("cohort", "num_id")
         .agg(F.sum("tests").alias("tests"))
     )
@@ -144,6 +160,6 @@ def subject_onsets(tests: DataFrame, cohorts: Sequence[Cohort] = COHORTS) -> Dat
         with_membership(tests, cohorts)
         .select("cohorts", "num_id", "symp_onset_day")
         .distinct()
-        .select(F.explode("cohorts").alias("cohort"), "num_id", "symp_onset_day")
+        .select(cohort_names(cohorts), "num_id", "symp_onset_day")
         .distinct()
     )

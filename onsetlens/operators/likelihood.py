@@ -16,11 +16,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from onsetlens.functions.density import bernoulli_logit, curve_logit
 from onsetlens.operators.grid import BASE, CAP, STEP, Scenario, cell_count, incubation_grid
-from onsetlens.operators.model import BROADCAST_ROWS, PARAMETERS, join_params
+from onsetlens.operators.model import BROADCAST_ROWS, PARAM_BLOCK, PARAMETERS, join_params, param_blocks
 from onsetlens.session import materialise, parallel_tasks
 from onsetlens.sources.schema import ONSET_DAY
 
-PARAM_BLOCK = 256
 THETAS_AT_ONCE = 8  # parameter rows per matrix product, so that it stays in cache
 WIDE_DAYS = 4096  # a block whose days spread wider is evaluated test by test
 HELD_SUMS = 512  # partial sums a task holds before it hands them on
@@ -100,22 +99,6 @@ def _block_rows(batches: Iterator[pd.DataFrame]):
             yield row
 
 
-def param_blocks(params: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-    """At most PARAM_BLOCK parameter rows (unique whole ``param_id`` per cohort) per row, as arrays.
-
-    Sorted, so that every copy of a block, also of a task that ran again, has one order.
-    """
-    if "scenario" not in params.columns:
-        params = params.withColumn("scenario", F.lit(BASE.name))
-    kept = ["param_id", *PARAMETERS, *extra]
-    return (
-        params.withColumn("param_block", F.floor(F.col("param_id") / PARAM_BLOCK))
-        .groupBy("scenario", "cohort", "param_block")
-        .agg(F.array_sort(F.collect_list(F.struct(*kept))).alias("rows"))
-        .select("scenario", "cohort", "param_block", *[F.col("rows")[name].alias(name) for name in kept])
-    )
-
-
 def _thetas(row) -> np.ndarray:
     return np.column_stack([getattr(row, name) for name in PARAMETERS])
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from onsetlens.functions.interval import exact_interval
-from onsetlens.operators.cohorts import COHORTS, Cohort, with_membership
+from onsetlens.operators.cohorts import COHORTS, Cohort, cohort_names, with_membership
 
 
 def positive_counts(
@@ -21,7 +21,7 @@ def positive_counts(
         with_membership(tests.where(F.col(by).isNotNull()), cohorts)
         .groupBy("cohorts", by)
         .agg(F.count_if("pcr_result").alias("x"), F.count("pcr_result").alias("n"))
-        .select(F.explode("cohorts").alias("cohort"), by, "x", "n")
+        .select(cohort_names(cohorts), by, "x", "n")
         .groupBy("cohort", by)
         .agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
         .where(F.col("n") > 0)

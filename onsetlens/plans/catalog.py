@@ -36,7 +36,8 @@ from onsetlens.plans.analysis import analyse, analyse_rows
 from onsetlens.plans.inputs import day_params, given_infection_days, lattice_params, posterior_lattice
 from onsetlens.plans.sensitivity import prior_sensitivity
 from onsetlens.session import configure, materialise, scratch_path
-from onsetlens.sources.checks import check_values
+from onsetlens.sources.checks import check_against_dictionary, check_values
+from onsetlens.sources.schema import TESTS
 from onsetlens.sources.sinks import (
     read_csv,
     read_draws,
@@ -46,7 +47,7 @@ from onsetlens.sources.sinks import (
     write_infection_draws,
 )
 from onsetlens.sources.tables import bind_events, bind_tables
-from onsetlens.sources.tests_csv import load_tests
+from onsetlens.sources.tests_csv import load_dictionary, load_tests, rejected_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -317,6 +318,44 @@ def q_write_infection_draws(spark, folder):
     return _rounded(unpacked(read_infection_draws(spark, path)), 6, "inf_day").drop("scenario")
 
 
+# A data dictionary as it may stand before the data, in the forms that descriptions take.
+DICTIONARY = (
+    ("pcr_result", "Result of the test. True=found; False=not found."),
+    ("time_period", "Period of the onset. First: before; Second: during."),
+    ("immunised", "Yes: one dose or more; No: none; Unknown."),
+    ("gender", "Male/Female"),
+    ("age_group", "under40/over40 years old"),
+    ("comorbidities", "1: at least one; 0: none"),
+    ("ethnicity", "as the person says, or unknown"),
+)
+
+
+def _file_with_head(spark, folder):
+    """Title, dictionary and tests as one folder of text; some lines have no number or no day."""
+    path = scratch_path(spark, "tests-with-head")
+    names = [f.name for f in TESTS.fields]
+    tests = bind_tables(spark, folder)
+    number = F.when(F.col("num_id") % 97 == 0, F.concat(F.lit("x"), F.col("num_id"))).otherwise(F.col("num_id").cast("string"))
+    day = F.when(F.col("num_id") % 89 == 0, F.lit("soon")).otherwise(F.col("days_since_onset").cast("string"))
+    fields = [{"num_id": number, "days_since_onset": day}.get(n, F.coalesce(F.col(n).cast("string"), F.lit("NA"))) for n in names]
+    head = ['"Results of a study, masked",,', ",,", "Field name,Description,"]
+    head += [f'{field},"{text}",' for field, text in DICTIONARY] + [",".join(names)]
+    lines = spark.createDataFrame([(line,) for line in head], "value string").union(tests.select(F.concat_ws(",", *fields).alias("value")))
+    lines.write.text(path)
+    return path
+
+
+def q_check_dictionary(spark, folder):
+    """Values that the dictionary in the file's own head does not document."""
+    path = _file_with_head(spark, folder)
+    return check_against_dictionary(load_tests(spark, path), load_dictionary(spark, path))
+
+
+def q_rejected_lines(spark, folder):
+    """Lines left out and fields left empty, by reason."""
+    return rejected_counts(spark, _file_with_head(spark, folder))
+
+
 def _lattice_analysis(spark, folder, scenarios=(BASE,)):
     tests = _tests(spark, folder)
     rows = materialise(posterior_lattice(tests), "lattice")
@@ -413,6 +452,8 @@ _QUERIES: dict[str, Query] = {
     "write_infection_draws": q_write_infection_draws,
     "prior_sensitivity": q_prior_sensitivity,
     "marginal_loglik_relational": q_marginal_loglik_relational,
+    "check_dictionary": q_check_dictionary,
+    "rejected_lines": q_rejected_lines,
     "tail_shape": q_tail_shape,
     "fit_report": q_fit_report,
     "lattice_parameters": q_lattice_parameters,

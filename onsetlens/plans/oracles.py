@@ -748,4 +748,30 @@ ORACLES: dict[str, str] = {
                round(min(p) FILTER (WHERE upto >= 0.025), 9) AS lower_95, round(min(p) FILTER (WHERE upto >= 0.975), 9) AS upper_95
         FROM running GROUP BY scenario, cohort, k""",
     ),
+    "check_dictionary": _with(
+        _TESTS,
+        """
+        rules(field, value) AS (VALUES ('pcr_result', 'true'), ('pcr_result', 'false'), ('time_period', 'first'),
+          ('time_period', 'second'), ('immunised', 'yes'), ('immunised', 'no'), ('immunised', 'unknown'),
+          ('gender', 'male'), ('gender', 'female'), ('age_group', 'under40'), ('age_group', 'over40'),
+          ('comorbidities', '1'), ('comorbidities', '0')),
+        long AS (
+          SELECT field, lower(value) AS value
+          FROM (SELECT pcr_result::VARCHAR AS pcr_result, time_period, immunised, gender, age_group,
+                       comorbidities::VARCHAR AS comorbidities, ethnicity FROM tests WHERE num_id % 97 <> 0)
+          UNPIVOT INCLUDE NULLS (value FOR field IN (pcr_result, time_period, immunised, gender, age_group, comorbidities, ethnicity))
+        )""",
+        select="""
+        SELECT long.field, count(*) AS rows_read, count(*) - count(long.value) AS nulls,
+               CASE WHEN long.field <> 'ethnicity' THEN count(long.value) - count(rules.value) ELSE 0 END AS outside,
+               (SELECT count(*) FROM rules r WHERE r.field = long.field) AS documented
+        FROM long LEFT JOIN rules ON long.field = rules.field AND long.value = rules.value GROUP BY long.field""",
+    ),
+    "rejected_lines": _with(
+        _TESTS,
+        select="""
+        SELECT 'no number in num_id' AS reason, count(*) AS lines FROM tests WHERE num_id % 97 = 0 HAVING count(*) > 0
+        UNION ALL
+        SELECT 'unreadable days_since_onset', count(*) FROM tests WHERE num_id % 97 <> 0 AND num_id % 89 = 0 HAVING count(*) > 0""",
+    ),
 }

@@ -57,6 +57,27 @@ def rejected_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.where(first.try_cast("bigint").isNull() & ~first.isin(known) & ~is_title)
 
 
+def rejected_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(reason, lines): lines left out, and lines kept with a field that could not be read, by reason.
+
+    "no number in num_id" lines are left out by ``load_tests``; the other reasons leave the field
+    null and the line in.  Lines of the head count as none; reasons without a line have no row.
+    """
+    raw = _raw(spark, path, _header(spark, path))
+    reasons = []
+    for field in TESTS.fields:
+        kind, text = field.dataType.simpleString(), F.trim(F.col(field.name))
+        given = F.col(field.name).isNotNull() & ~text.isin("NA", "")
+        if field.name == "num_id" or kind == "string":
+            continue
+        readable = _flag(field.name).isNotNull() if kind == "boolean" else text.try_cast(kind).isNotNull()
+        reasons.append(F.when(given & ~readable, F.lit(f"unreadable {field.name}")))
+    numbered = F.trim(F.col("num_id")).try_cast("bigint").isNotNull()
+    kept = raw.where(numbered).select(F.explode(F.array_compact(F.array(*reasons))).alias("reason"))
+    left_out = rejected_lines(spark, path).select(F.lit("no number in num_id").alias("reason"))
+    return kept.union(left_out).groupBy("reason").agg(F.count(F.lit(1)).alias("lines"))
+
+
 def load_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """(field, description) from the lines before the data; empty where a file has none."""
     known = [field.name for field in TESTS.fields]

@@ -1,7 +1,7 @@
-from onsetlens.sources.checks import check_values
+from onsetlens.sources.checks import check_against_dictionary, check_values, dictionary_rules
 from onsetlens.sources.schema import TESTS
 from onsetlens.sources.sinks import read_csv, read_draws, write_csv, write_draws
-from onsetlens.sources.tests_csv import load_dictionary, load_tests, rejected_lines
+from onsetlens.sources.tests_csv import load_dictionary, load_tests, rejected_counts, rejected_lines
 
 HEADER = ",".join(TESTS.fieldNames())
 PREAMBLE = (
@@ -78,3 +78,51 @@ def test_write_and_read_back(spark, tmp_path):
     one = read_draws(spark, str(tmp_path / "draws"), "C")
     assert one.count() == 2
     assert "PartitionFilters: [isnotnull(cohort" in one._jdf.queryExecution().toString()
+
+
+def test_rules_of_a_dictionary(spark, make_tests):
+    rows = [
+        ("pcr_result", "Test result. True=positive; False=negative."),
+        ("time_period", "Time period of onset. First: 26 Feb 2020 - 14 June; Second: later; Third: 1 July."),
+        ("immunised", "Yes: one dose; No: none; Not.applicable: none; Unknown."),
+        ("overseas", "Yes: abroad; No: at home; Unknown/NULL: unknown."),
+        ("gender", "Male/Female/Unknown"),
+        ("age_group", "under40/over40 years old"),
+        ("comorbidities", "1: one or more; 0: none"),
+        ("ethnicity", "prioritised ethnicity: this, that, or unknown."),
+        ("num_id", "Unique case ID"),
+    ]
+    dictionary = spark.createDataFrame(rows, "field string, description string")
+    found = {}
+    for r in dictionary_rules(dictionary).collect():
+        found.setdefault(r.field, set()).add(r.value)
+    assert found == {
+        "pcr_result": {"true", "false"},
+        "time_period": {"first", "second", "third"},
+        "immunised": {"yes", "no", "not.applicable", "unknown"},
+        "overseas": {"yes", "no", "unknown", "null"},
+        "gender": {"male", "female", "unknown"},
+        "age_group": {"under40", "over40"},
+        "comorbidities": {"1", "0"},
+    }
+    tests = make_tests([(1, 0, None), (2, 1, True, {"time_period": "Thurs"}), (3, 1, True, {"gender": None})])
+    checked = {r.field: tuple(r)[1:] for r in check_against_dictionary(tests, dictionary).collect()}
+    assert checked["time_period"] == (3, 0, 1, 3) and checked["gender"] == (3, 1, 0, 3)
+    assert checked["pcr_result"] == (3, 1, 0, 2) and checked["ethnicity"] == (3, 0, 0, 0) and "num_id" not in checked
+    assert check_against_dictionary(tests, dictionary.limit(0)).collect() == []
+
+
+def test_rejected_lines_by_reason(spark, tmp_path):
+    broken = (
+        "x12,3,TRUE,Third,Include,Yes,No,Male,over40,1,Other\n"
+        "13,soon,maybe,Third,Include,Yes,No,Male,over40,1,Other\n"
+        "14,NA,NA,Third,Include,Yes,No,Male,over40,many,Other\n"
+    )
+    (tmp_path / "t.csv").write_text(PREAMBLE + HEADER + "\n" + ROWS + broken)
+    found = {r.reason: r.lines for r in rejected_counts(spark, str(tmp_path / "t.csv")).collect()}
+    assert found == {
+        "no number in num_id": 1,
+        "unreadable days_since_onset": 1,
+        "unreadable pcr_result": 1,
+        "unreadable comorbidities": 1,
+    }
