@@ -24,6 +24,7 @@ THETAS_AT_ONCE = 8  # parameter rows per matrix product, so that it stays in cac
 WIDE_DAYS = 4096  # a block whose days spread wider is evaluated test by test
 HELD_SUMS = 512  # partial sums a task holds before it hands them on
 DRAWS_AT_ONCE = 256  # draws of a block of persons sampled together
+SPLIT_BLOCKS = 256  # blocks of persons whose infection days a task counts for the same draws
 HELD_COUNTS = 4_000_000  # counts by draw and day a task holds before it hands them on
 
 # "person": the prior is renormalised above each person's bound, tests count whatever their day.
@@ -283,30 +284,30 @@ class _Sampler:
         A cell by its conditional weight, then uniform within the cell: one uniform does both.
         """
         thetas, size = _thetas(self.row), len(self.cells.inc)
+        half = 1 << max(size - 1, 1).bit_length() - 1
         persons, at = np.arange(len(self.num_id))[:, None], 0
         for i in range(0, len(thetas), THETAS_AT_ONCE):
             part = thetas[i : i + THETAS_AT_ONCE]
             weight = self.cells.persons(self.row, part, self.counts, self.days, self.positive)
             weight -= weight.max(axis=2, keepdims=True)
             np.exp(weight, out=weight)
-            running = np.cumsum(weight, axis=2).ravel()
-            weight = weight.ravel()
+            # Padded to a power of two, so that a search by halves stays inside.
+            running = np.full((*weight.shape[:2], half * 2), np.inf)
+            np.cumsum(weight, axis=2, out=running[:, :, :size])
+            running, weight = running.ravel(), weight.ravel()
             of = np.repeat(np.arange(len(part)), self.copies[i : i + THETAS_AT_ONCE])
             for j in range(0, len(of), DRAWS_AT_ONCE):
                 row = persons * len(part) + of[None, j : j + DRAWS_AT_ONCE]
-                before = row * size  # place ahead of the cells of a (person, parameter row)
-                uniform = person_uniform(self.key, self.num_id[:, None], self.draws[None, at : at + row.shape[1]])
-                want = uniform * running[before + size - 1]
-                cell = np.zeros(row.shape, np.int64)  # cells whose running weight is not above
-                step = 1 << (size.bit_length() - 1)
+                want = person_uniform(self.key, self.num_id[:, None], self.draws[None, at : at + row.shape[1]])
+                first = row * (2 * half)  # place of the first cell of a (person, parameter row)
+                want *= running[first + (size - 1)]
+                place, step = first - 1, half  # the last cell whose running weight is not above
                 while step:
-                    further = np.minimum(cell + step, size)
-                    passed = running[before + further - 1] <= want
-                    cell = np.where(passed & (cell + step <= size), further, cell)
+                    place += step * (running[place + step] <= want)
                     step >>= 1
-                before += np.minimum(cell, size - 1, out=cell)
-                width = weight[before]
-                into = (want - (running[before] - width)) / width
+                cell = np.minimum(place + 1 - first, size - 1)
+                width = weight[row * size + cell]
+                into = (want - (running[first + cell] - width)) / width
                 yield at, ONSET_DAY - (cell + np.clip(into, 0.0, 1.0)) * self.cells.step
                 at += row.shape[1]
 
@@ -383,6 +384,9 @@ def infection_draws(
     return unpacked(packed_infection_draws(draws, person_blocks, seed, scenarios, step, cap, truncation))
 
 
+_BOTH = float(1 << 26)
+
+
 class _DayCounts:
     """Tests and positive ones by draw of a parameter block and day, over the blocks of a task."""
 
@@ -407,8 +411,14 @@ class _DayCounts:
         draws = x.shape[1]
         place = (np.arange(draws) * width + (x - low)).ravel()
         into = (slice(at, at + draws), slice(low - self.first, low - self.first + width))
-        self.total[into] += np.bincount(place, np.repeat(n, draws), draws * width).reshape(draws, width)
-        self.pos[into] += np.bincount(place, np.repeat(pos, draws), draws * width).reshape(draws, width)
+        if n.sum() < _BOTH:  # one count of both numbers, exact in a double
+            both = np.bincount(place, np.repeat(n + _BOTH * pos, draws), draws * width).reshape(draws, width)
+            positive = np.floor(both / _BOTH)
+            self.total[into] += both - _BOTH * positive
+            self.pos[into] += positive
+        else:
+            self.total[into] += np.bincount(place, np.repeat(n, draws), draws * width).reshape(draws, width)
+            self.pos[into] += np.bincount(place, np.repeat(pos, draws), draws * width).reshape(draws, width)
 
     def rows(self) -> pd.DataFrame:
         draw, day = np.nonzero(self.total)
@@ -437,7 +447,8 @@ def infection_day_counts(
 
     Equal to joining ``infection_draws`` to the tests and counting, but the (draws x persons)
     rows stay in the task that draws them: a block already carries the tests of its persons.
-    The blocks of a task come sorted by parameter block, whose counts leave the task once.
+    A task takes whole parameter blocks of a cohort with up to SPLIT_BLOCKS blocks of persons, so
+    that the counts of many persons leave it as one row per draw and day.
     """
     cells = Cells(scenarios, step, cap, truncation)
 
@@ -469,7 +480,14 @@ def infection_day_counts(
         if held is not None:
             yield held.rows()
 
-    met = _met_with_draws(draws, person_blocks).sortWithinPartitions("scenario", "cohort", "param_block")
+    spark = draws.sparkSession
+    tasks = max(parallel_tasks(spark), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    met = (
+        _met_with_draws(draws, person_blocks)
+        .withColumn("split", F.floor(F.col("block") / SPLIT_BLOCKS))
+        .repartition(tasks, "scenario", "cohort", "param_block", "split")
+        .sortWithinPartitions("scenario", "cohort", "param_block", "split")
+    )
     return (
         met.mapInPandas(count, "scenario string, cohort string, draw long, x int, pos long, n long")
         .groupBy("scenario", "cohort", "draw", "x")
