@@ -149,18 +149,20 @@ def mix(
 def mixed_documents(documents: DataFrame, sf_dir: str | None = None, text_column: str = "text", **settings) -> DataFrame:
     """``documents`` as the mix holds them: a row per copy, the last copy cut to the words taken.
 
-    Every column is kept; ``text`` of a copy in part ends after the last word taken.  ``doc_id``
-    must be unique (rows of a repeated id are given what its first row takes).
+    Every column is kept, whatever its name; ``text`` of a copy in part ends after the last word
+    taken.  Rows of a repeated id are each given what the one of them takes that takes most.
     """
+    doc, size, taken, copy = (fresh(documents, name) for name in ("_mix_id", "_mix_size", "_mix_taken", "_mix_copy"))
     share = mix(documents, text_column=text_column, **settings).select(
-        F.col("doc_id").alias("_mix_id"), F.col("size").alias("_mix_size"), F.col("taken").alias("_mix_taken")
+        F.col("doc_id").alias(doc), F.col("size").alias(size), F.col("taken").alias(taken)
     )
-    share = share.groupBy("_mix_id").agg(F.max("_mix_size").alias("_mix_size"), F.max("_mix_taken").alias("_mix_taken"))
-    copy = fresh(documents, "_mix_copy")
-    copies = F.expr("sequence(1, cast(ceil(_mix_taken / _mix_size) AS int))")
-    words = F.least(F.col("_mix_size"), F.col("_mix_taken") - (F.col(copy) - 1) * F.col("_mix_size"))
-    cut = F.when(words >= F.col("_mix_size"), F.col(text_column)).otherwise(first_words(F.col(text_column), words))
-    met = documents.join(share.where("_mix_taken > 0"), F.expr("doc_id <=> _mix_id")).withColumn(copy, F.explode(copies))
+    # Size and words taken of one row, not the greatest of each.
+    share = share.groupBy(doc).agg(F.max(F.struct(taken, size)).alias(size)).select(doc, F.col(size)[taken].alias(taken), F.col(size)[size].alias(size))
+    share = share.where(F.col(taken) > 0)
+    copies = F.sequence(F.lit(1), F.ceil(F.col(taken) / F.col(size)).cast("int"))
+    words = F.least(F.col(size), F.col(taken) - (F.col(copy) - 1) * F.col(size))
+    cut = F.when(words >= F.col(size), F.col(text_column)).otherwise(first_words(F.col(text_column), words))
+    met = documents.join(share, documents["doc_id"].eqNullSafe(F.col(doc))).withColumn(copy, F.explode(copies))
     return met.withColumn(text_column, cut).select(*documents.columns)
 
 

@@ -43,14 +43,15 @@ def _parts(word: str) -> tuple[str, str]:
     """A word as one or two strings with the same tokens that are seen more often.
 
     The tokenizer lower-cases, so an ASCII word may be lower-cased before; a token ends where
-    letters meet a full stop or comma.  A word that may hold a special string stays as it is.
+    letters meet a full stop or comma.  A word that may hold a special string stays as it is,
+    and so does one whose last letter lower-cases to a letter and a mark, which joins the stop.
     """
     if "<" in word:
         return word, ""
     if word.isascii():
         word = word.lower()
     core = word.rstrip(".,")
-    if core and len(core) < len(word) and core[-1].isalpha() and core[-1] < "ɐ":
+    if core and len(core) < len(word) and core[-1].isalpha() and core[-1] < "ɐ" and len(core[-1].lower()) == 1:
         return core, word[len(core) :]
     return word, ""
 
