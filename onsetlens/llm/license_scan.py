@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,11 +28,19 @@ def _kept(found: list[tuple]) -> list[tuple]:
     """
     order = sorted(found, key=lambda s: (-s[2], s[4] - s[5], s[3], s[4]))
     kept: list[tuple] = []
-    cover: list[tuple[int, int]] = []
+    # Kept spans that lie in no other, by start; so their ends ascend too.
+    starts: list[int] = []
+    ends: list[int] = []
     for span in order:
-        if span[1] or not any(a <= span[4] and span[5] <= b for a, b in cover):
+        first, last = span[4], span[5]
+        at = bisect_right(starts, first)
+        inside = at > 0 and ends[at - 1] >= last
+        if span[1] or not inside:
             kept.append(span)
-            cover.append((span[4], span[5]))
+        if not inside:
+            begin = bisect_left(starts, first)
+            until = bisect_right(ends, last, begin)  # these lie inside the new one
+            starts[begin:until], ends[begin:until] = [first], [last]
     return sorted(kept, key=lambda s: (s[4], s[5], s[3]))
 
 
