@@ -58,12 +58,16 @@ def _parts(word: str) -> tuple[str, str]:
 
 def word_tokens(path: str, words: list[str], lengths_only: bool):
     """Numbers of tokens of the words (int64), or their ids as (flat, starts, lengths)."""
-    kept = worker_state(f"words {path} {lengths_only}")
+    generations = worker_state(f"words {path} {lengths_only}")
+    kept = generations.setdefault("now", {})
     parts = [_parts(word) for word in words]
-    missing = list({p for pair in parts for p in pair if p not in kept})
-    if len(kept) + len(missing) > CACHED_WORDS:
-        kept.clear()
-        missing = list({p for pair in parts for p in pair})
+    wanted = {p for pair in parts for p in pair}
+    older = generations.get("older", {})
+    kept.update((word, older[word]) for word in wanted if word not in kept and word in older)
+    if len(kept) > CACHED_WORDS // 2:  # words not seen since the last turn are forgotten
+        generations["older"] = kept
+        kept = generations["now"] = {word: kept[word] for word in wanted if word in kept}
+    missing = [word for word in wanted if word not in kept]
     found = encode_batches(load_tokenizer(path), missing)
     if lengths_only:
         kept.update(zip(missing, map(len, found)))
