@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from onsetlens.llm.common import (
+from onsetlens.llm.common import (, small_batches
     BUCKETS_PER_PARTITION, order_bounds, order_bucket, partitions, ragged_take, segments, sums_between, texts_of, words_of,
 )
 from onsetlens.llm.elias_fano import EliasFano
@@ -69,6 +69,7 @@ def write_token_file(
     columns are not read.
     """
     spark = documents.sparkSession
+    small_batches(spark)
     kept = documents.select(documents[id_column].cast("long").alias("doc_id"), documents[text_column].cast("string").alias("text"))
     count = partitions(spark)
     bounds = order_bounds(kept, "doc_id", BUCKETS_PER_PARTITION * count)
@@ -131,7 +132,8 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for place in range(batch.num_rows):  # one segment at a time
+                row = batch.slice(place, 1).to_pylist()[0]
                 ends = EliasFano.from_bytes(row["ends"]).values()
                 known = EliasFano.from_bytes(row["doc_ids"]).values().tolist()
                 ids = np.frombuffer(row["ids"], f"<u{row['id_bytes']}")
