@@ -14,14 +14,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from onsetlens.llm.common import (, small_batches
+from onsetlens.llm.common import (
+    small_batches,
     BUCKETS_PER_PARTITION, order_bounds, order_bucket, partitions, ragged_take, segments, sums_between, texts_of, words_of,
 )
 from onsetlens.llm.elias_fano import EliasFano
 from onsetlens.llm.word_ids import load_tokenizer, word_tokens
 from onsetlens.session import scratch_path
 
-SEGMENT_TOKENS = 2_000_000  # ids of a segment, but for a longer single document
+SEGMENT_TOKENS = 500_000  # ids of a segment, but for a longer single document
 _SEGMENT = "bucket int, segment int, n_docs long, n_nulls long, n_tokens long, id_bytes int, doc_ids binary, ends binary, ids binary"
 
 
