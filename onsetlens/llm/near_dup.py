@@ -1,10 +1,12 @@
 """Near-duplicate documents: MinHash bands, Bayesian pruning of candidates, exact verification.
 
-Equal sets are one class from the start.  Classes that share a band are candidates: first each
-with the smallest of its bucket, then, where a bucket still spans several components, all those
-of different components, tile by tile.  A candidate is compared a batch of signature values at
-a time and dropped when the posterior that its similarity reaches the threshold falls below the
-miss probability; the rest are confirmed on full shingle sets.
+Equal sets are one class from the start.  Classes that share a band are candidates.  A candidate
+is compared a batch of signature values at a time and dropped when the posterior that its
+similarity reaches the threshold falls below the miss probability.  First each class is confirmed,
+on full shingle sets, with one hub: the smallest class of its buckets that is left.  Then buckets
+that still span several components are compared tile by tile; the survivors of different
+components form families, and a family is confirmed in tiles that hold each set once.  Tiles hand
+on joining links only, never all pairs.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from onsetlens.llm.common import by_bytes, fresh, partitions, texts_of, small_batches
+from onsetlens.llm.common import by_bytes, fresh, partitions, ragged_take, small_batches, sums_between, texts_of
 from onsetlens.llm.components import components
 from onsetlens.llm.shingles import SHINGLE, MinHash, shingle_sets, similar
 from onsetlens.session import materialise
@@ -26,8 +28,9 @@ PERCENT = 80
 BAND_ROWS, BANDS = 6, 40  # a pair at the threshold shares no band with probability (1 - 0.8^6)^40 = 5e-6
 BATCH = 48  # signature values compared at a time
 MISS = 1e-4  # posterior probability of reaching the threshold at which a candidate is dropped
-TILE = 1024  # classes of a bucket in one tile
-PARTNERS = 256  # candidates of a class verified in one group
+TILE = 1024  # classes of a bucket, or of a family, in one tile
+TILE_SHINGLES = 1 << 20  # shingles of a family in one tile, but for a longer single set
+HUB_PARTS = 512  # tasks' worth of groups that the classes of one hub are dealt to
 
 
 def least_matches(n: int, threshold: float, miss: float) -> int:
@@ -98,13 +101,22 @@ def _sets(size: int, rows: int, bands: int):
 
 
 def _signatures(size: int, rows: int, bands: int):
+    """(id, text) to (id, n, signature, shingles), the last as 64-bit hashes in ascending order."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = MinHash(rows * bands)
         for whole in batches:
             for batch in by_bytes(whole, "text"):
-                texts = texts_of(batch.column(1))
-                signatures = [hashed(s).tobytes() for s in shingle_sets(texts, size)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), texts, pa.array(signatures, pa.binary())], ["id", "text", "signature"])
+                sets = shingle_sets(texts_of(batch.column(1)), size)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([hashed(s).tobytes() for s in sets], pa.binary()),
+                        pa.array([s.tobytes() for s in sets], pa.binary()),
+                    ],
+                    ["id", "n", "signature", "shingles"],
+                )
 
     return run
 
@@ -145,73 +157,145 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dic
         yield held
 
 
-def _compare_tiles(rows: int, least: list[int]):
-    """Tiles of buckets to pairs of different components that the posterior leaves.
+def _link_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    pairs = np.array(links, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(pairs.max(axis=1, initial=-(1 << 63))), pa.array(pairs.min(axis=1, initial=(1 << 63) - 1))], ["a", "b"])
+
+
+def _partners(group: dict, roots: np.ndarray, labels: np.ndarray, q: int) -> np.ndarray:
+    """Rows of a tile that row ``q`` is compared with: not yet joined, each pair once."""
+    other = (roots != roots[q]) & (labels != labels[q])
+    if group["i"][0] != group["j"][0]:
+        tiles = group["tile"]
+        return np.flatnonzero(other & (tiles > tiles[q]))
+    return np.flatnonzero(other & (group["id"] > group["id"][q]))
 
-    A pair is handed on only by the first band that it shares.
+
+def _arrays(group: dict) -> tuple[dict, np.ndarray]:
+    """The group with its numbers as arrays, and its signatures as a matrix."""
+    numbers = {name: np.array(group[name], np.int64) for name in ("id", "root", "tile", "i", "j")}
+    return group | numbers, np.array([np.frombuffer(v, np.uint16) for v in group["signature"]])
+
+
+def _joining(group: dict, labels: np.ndarray, q: int, found: np.ndarray, links: list[tuple[int, int]]) -> None:
+    """Appends the links from row ``q`` to the rows ``found`` that join two labels, and joins them."""
+    for at in found.tolist():
+        if labels[at] != labels[q]:
+            links.append((int(group["id"][q]), int(group["id"][at])))
+            labels[labels == labels[at]] = labels[q]
+
+
+def _compare_tiles(least: list[int]):
+    """Tiles of buckets to candidates of different components that the posterior leaves.
+
+    Only those that join two families of the tile are handed on, so fewer than the tile has rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found_a, found_b = [], []
+        links: list[tuple[int, int]] = []
         for group in _grouped(batches, ["band", "key", "i", "j"]):
-            ids, roots = np.array(group["id"], np.int64), np.array(group["root"], np.int64)
-            tiles, band = np.array(group["tile"], np.int64), group["band"][0]
-            values = np.array([np.frombuffer(v, np.uint16) for v in group["signature"]])
-            crossing = group["i"][0] != group["j"][0]
-            for q in range(len(ids)):
-                other = roots != roots[q]
-                other &= (tiles > tiles[q]) if crossing else (ids > ids[q])
-                other = np.flatnonzero(other)
+            group, values = _arrays(group)
+            labels = np.unique(group["id"], return_inverse=True)[1]
+            for q in range(len(labels)):
+                other = _partners(group, group["root"], labels, q)
+                if len(other):
+                    _joining(group, labels, q, other[survivors(values[q : q + 1], values[other], least)], links)
+            if len(links) > 10_000:
+                yield _link_batch(links)
+                links = []
+        if links:
+            yield _link_batch(links)
+
+    return run
+
+
+def _confirm_tiles(percent: int, least: list[int]):
+    """Tiles of families to links whose full sets are similar and that join two components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _grouped(batches, ["family", "i", "j"]):
+            group, values = _arrays(group)
+            sizes = np.array(group["n"], np.int64)
+            ends = np.cumsum(sizes)
+            known, codes = np.unique(np.frombuffer(b"".join(group.pop("shingles")), np.uint64), return_inverse=True)
+            marked = np.zeros(len(known), bool)
+            labels, links = np.unique(group["root"], return_inverse=True)[1], []
+            for q in range(len(labels)):
+                other = _partners(group, group["root"], labels, q)
+                if not len(other):
+                    continue
+                other = other[survivors(values[q : q + 1], values[other], least)]
+                other = other[100 * np.minimum(sizes[other], sizes[q]) >= percent * np.maximum(sizes[other], sizes[q])]
                 if not len(other):
                     continue
-                if band:
-                    earlier = (values[other, : band * rows] == values[q, : band * rows]).reshape(len(other), band, rows)
-                    other = other[~earlier.all(axis=2).any(axis=1)]
-                other = other[survivors(values[q : q + 1], values[other], least)] if len(other) else other
-                found_a.extend(np.maximum(ids[other], ids[q]).tolist())
-                found_b.extend(np.minimum(ids[other], ids[q]).tolist())
-            if len(found_a) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], ["a", "b"])
-                found_a, found_b = [], []
-        if found_a:
-            yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], ["a", "b"])
+                own = codes[ends[q] - sizes[q] : ends[q]]
+                marked[own] = True
+                hits = marked[ragged_take(codes, ends - sizes, sizes, other)]
+                marked[own] = False
+                shared = sums_between(hits, np.concatenate([[0], np.cumsum(sizes[other])]))
+                _joining(group, labels, q, other[100 * shared >= percent * (sizes[other] + sizes[q] - shared)], links)
+            if links:
+                yield _link_batch(links)
 
     return run
 
 
-def _confirm(size: int, percent: int):
-    """Texts by (hub, part), the hub first, to links (a, b) whose full sets are similar."""
+def _confirm_hubs(percent: int):
+    """Sets by (hub, part), the hub first, to links (a, b) that are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, hubs = None, []
-        for whole in batches:
-            for batch in by_bytes(whole, "text"):
-                sets = shingle_sets(texts_of(batch.column(4)), size)
-                linked_a, linked_b = [], []
-                for hub, part, role, doc, s in zip(*(batch.column(i).to_pylist() for i in range(4)), sets):
-                    if (hub, part) != now:
-                        now, hubs = (hub, part), []
-                    if role == 0:
-                        hubs.append(s)  # more than one only where an id is repeated
-                    elif any(similar(s, h, percent) for h in hubs):
-                        linked_a.append(doc)
-                        linked_b.append(hub)
-                yield pa.RecordBatch.from_arrays([pa.array(linked_a, pa.int64()), pa.array(linked_b, pa.int64())], ["a", "b"])
+        for batch in batches:
+            links = []
+            for hub, part, role, doc, s in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if (hub, part) != now:
+                    now, hubs = (hub, part), []
+                s = np.frombuffer(s, np.uint64)
+                if role == 0:
+                    hubs.append(s)  # more than one only where an id is repeated
+                elif any(similar(s, h, percent) for h in hubs):
+                    links.append((doc, hub))
+            yield _link_batch(links)
 
     return run
 
 
-def _confirmed(pairs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar; the texts of a hub's partners come in parts."""
-    spark = pairs.sparkSession
-    counts = pairs.groupBy(F.col("b").alias("hub")).agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts"))
-    parted = pairs.join(counts, F.col("b") == F.col("hub")).withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
-    asked = parted.select("hub", "part", F.lit(1).alias("role"), F.col("a").alias("doc")).union(
-        counts.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0), "hub")
+def _confirmed(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b), one for each a, whose full sets are similar.
+
+    A hub's set goes to the parts that its classes are dealt to: at most two rows a pair.
+    """
+    parted = pairs.select(F.col("b").alias("hub"), F.pmod(F.xxhash64("a"), F.lit(HUB_PARTS)).cast("int").alias("part"), F.lit(1).alias("role"), F.col("a").alias("doc"))
+    asked = parted.union(parted.select("hub", "part", F.lit(0), "hub").distinct())
+    sets = asked.join(members.select("id", "shingles"), F.col("doc") == F.col("id")).select("hub", "part", "role", "doc", "shingles")
+    dealt = sets.repartition(partitions(pairs.sparkSession), "hub", "part").sortWithinPartitions("hub", "part", "role")
+    return dealt.mapInArrow(_confirm_hubs(percent), "a long, b long").distinct()
+
+
+def _tiled(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with ``tiles`` repeated for every tile (i, j) that they are part of."""
+    own = rows.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    spread = own.withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)"))).drop("tiles")
+    paired = spread.withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other")).drop("other")
+    keys = [*keys, "i", "j"]
+    return paired.repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
+
+
+def _between_components(buckets: DataFrame, members: DataFrame, roots: DataFrame, percent: int, least: list[int]) -> DataFrame:
+    """Links (a, b) between classes that share a band but not yet a component."""
+    rooted = buckets.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    open_buckets = rooted.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    spread = rooted.join(open_buckets.select("band", "key"), ["band", "key"]).join(members.select("id", "signature"), "id")
+    tiles = F.ceil(F.col("many") / TILE).cast("int").alias("tiles")
+    tiled = _tiled(spread.select("band", "key", "id", "root", "signature", tiles), ["band", "key"])
+    candidates = materialise(tiled.mapInArrow(_compare_tiles(least), "a long, b long").distinct(), "candidates")
+    families = components(candidates).withColumnRenamed("root", "family")
+    rows = families.join(members, "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rows = materialise(rows.select("family", "id", "root", "n", "signature", "shingles"), "families")
+    sizes = rows.groupBy("family").agg(
+        F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("tiles")
     )
-    texts = asked.join(members.select("id", "text"), F.col("doc") == F.col("id")).select("hub", "part", "role", "doc", "text")
-    dealt = texts.repartition(partitions(spark), "hub", "part").sortWithinPartitions("hub", "part", "role")
-    return dealt.mapInArrow(_confirm(size, percent), "a long, b long").distinct()
+    return _tiled(rows.join(sizes, "family"), ["family"]).mapInArrow(_confirm_tiles(percent, least), "a long, b long").distinct()
 
 
 def near_duplicates(
@@ -251,31 +335,22 @@ def near_duplicates(
     wanted = buckets.select("id").distinct()
     members = materialise(
         texts.join(wanted, "id", "left_semi").mapInArrow(
-            _signatures(shingle, band_rows, bands), "id long, text string, signature binary"
+            _signatures(shingle, band_rows, bands), "id long, n long, signature binary, shingles binary"
         ),
         "members",
     )
     signatures = members.select("id", "signature")
 
-    # First round: every class with the smallest one of its buckets.
+    # First round: every class with one hub, the smallest of its buckets that the posterior leaves.
     stars = buckets.where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
     met = stars.join(signatures.toDF("id_a", "left"), F.expr("a = id_a")).join(signatures.toDF("id_b", "right"), F.expr("b = id_b"))
-    pairs = materialise(met.select("a", "b", "left", "right").mapInArrow(_prune(least), "a long, b long").distinct(), "pairs")
-    links = materialise(_confirmed(pairs, members, shingle, percent), "links")
+    left = met.select("a", "b", "left", "right").mapInArrow(_prune(least), "a long, b long")
+    pairs = materialise(left.groupBy("a").agg(F.min("b").alias("b")), "pairs")
+    links = materialise(_confirmed(pairs, members, percent), "links")
     roots = materialise(components(links), "roots")
 
     # Second round: in buckets of several components, classes of different ones.
-    rooted = buckets.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    open_buckets = rooted.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    spread = rooted.join(open_buckets.select("band", "key"), ["band", "key"]).withColumn("tiles", F.ceil(F.col("many") / TILE).cast("int"))
-    spread = spread.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).join(signatures, "id")
-    tiled = spread.withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)"))).select(
-        "band", "key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "id", "root", "signature"
-    )
-    dealt = tiled.repartition(partitions(spark), "band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
-    rest = dealt.mapInArrow(_compare_tiles(band_rows, least), "a long, b long").distinct()
-    rest = materialise(rest.join(pairs, ["a", "b"], "left_anti"), "pairs")
-    more = _confirmed(rest, members, shingle, percent)
+    more = _between_components(buckets, members, roots, percent, least)
     roots = components(links.union(more))
 
     named = sets.select("id", "n", "set_a", "set_b").join(classes.select("set_a", "set_b", F.col("id").alias("class")), ["set_a", "set_b"], "left")
