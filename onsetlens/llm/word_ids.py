@@ -7,6 +7,7 @@ once, in batches balanced by bytes.
 from __future__ import annotations
 
 import os
+from array import array
 
 import numpy as np
 
@@ -31,48 +32,54 @@ def load_tokenizer(path: str):
 
 def encode_batches(tokenizer, texts: list[str]):
     """Encodings of ``texts``, given to the library in batches of about ENCODE_BYTES."""
-    first, size = 0, 0
-    for at, text in enumerate(texts):
-        size += len(text)
-        if size >= ENCODE_BYTES or at == len(texts) - 1:
-            yield from tokenizer.encode_batch_fast(texts[first : at + 1], add_special_tokens=False)
-            first, size = at + 1, 0
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+    first = 0
+    while first < len(texts):
+        last = int(np.searchsorted(ends, (int(ends[first - 1]) if first else 0) + ENCODE_BYTES)) + 1
+        yield from tokenizer.encode_batch_fast(texts[first:last], add_special_tokens=False)
+        first = last
 
 
-def _parts(word: str) -> tuple[str, str]:
-    """A word as one or two strings with the same tokens that are seen more often.
+def _parts(words: list[str]) -> tuple[list[str], dict[int, str]]:
+    """The words as strings with the same tokens that are seen more often, and what is cut off some.
 
     The tokenizer lower-cases, so an ASCII word may be lower-cased before; a token ends where
     letters meet a full stop or comma.  A word that may hold a special string stays as it is,
     and so does one whose last letter lower-cases to a letter and a mark, which joins the stop.
     """
-    if "<" in word:
-        return word, ""
-    if word.isascii():
-        word = word.lower()
-    core = word.rstrip(".,")
-    if core and len(core) < len(word) and core[-1].isalpha() and core[-1] < "ɐ" and len(core[-1].lower()) == 1:
-        return core, word[len(core) :]
-    return word, ""
+    cores = [w.lower() if w.isascii() and "<" not in w else w for w in words]
+    stops = {}
+    for i in [i for i, w in enumerate(cores) if w[-1:] in (".", ",")]:
+        word = cores[i]
+        core = word.rstrip(".,")
+        if core and "<" not in word and core[-1].isalpha() and core[-1] < "ɐ" and len(core[-1].lower()) == 1:
+            cores[i], stops[i] = core, word[len(core) :]
+    return cores, stops
 
 
 def word_tokens(path: str, words: list[str], lengths_only: bool):
     """Numbers of tokens of the words (int64), or their ids as (flat, starts, lengths)."""
     generations = worker_state(f"words {path} {lengths_only}")
     kept = generations.setdefault("now", {})
-    parts = [_parts(word) for word in words]
-    wanted = {p for pair in parts for p in pair}
+    cores, stops = _parts(words)
+    wanted = {*cores, *stops.values()}
     older = generations.get("older", {})
-    kept.update((word, older[word]) for word in wanted if word not in kept and word in older)
+    missing = wanted - kept.keys()
+    known = missing & older.keys()
+    kept.update((word, older[word]) for word in known)
     if len(kept) > CACHED_WORDS // 2:  # words not seen since the last turn are forgotten
         generations["older"] = kept
         kept = generations["now"] = {word: kept[word] for word in wanted if word in kept}
-    missing = [word for word in wanted if word not in kept]
+    missing = list(missing - known)
     found = encode_batches(load_tokenizer(path), missing)
     if lengths_only:
         kept.update(zip(missing, map(len, found)))
-        return np.array([kept[a] + kept[b] for a, b in parts], np.int64)
-    kept.update((word, np.array(e.ids, np.uint32).tobytes()) for word, e in zip(missing, found))
-    runs = [kept[a] + kept[b] for a, b in parts]
-    lengths = np.array([len(r) // 4 for r in runs], np.int64)
+        sizes = np.fromiter(map(kept.__getitem__, cores), np.int64, len(cores))
+        sizes[list(stops)] += np.array([kept[stop] for stop in stops.values()], np.int64)
+        return sizes
+    kept.update((word, array("I", e.ids).tobytes()) for word, e in zip(missing, found))
+    runs = list(map(kept.__getitem__, cores))
+    for i, stop in stops.items():
+        runs[i] += kept[stop]
+    lengths = np.fromiter(map(len, runs), np.int64, len(runs)) // 4
     return np.frombuffer(b"".join(runs), np.uint32), np.cumsum(lengths) - lengths, lengths
