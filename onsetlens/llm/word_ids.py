@@ -13,7 +13,7 @@ import numpy as np
 
 from onsetlens.llm.common import worker_state
 
-CACHED_WORDS = 600_000  # words a worker keeps; beyond that it starts afresh
+CACHED_WORDS = 600_000  # words a worker keeps, in two generations; the older one is forgotten in turn
 ENCODE_BYTES = 1 << 16  # text per call of the library
 
 
