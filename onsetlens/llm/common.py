@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import posixpath
 import sys
 import types
 from collections.abc import Iterator
@@ -37,6 +38,17 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``materialise`` wrote; what was read from them must be written already."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        conf = table.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        for folder in {posixpath.dirname(f) for f in table.inputFiles()}:
+            if "/onsetlens/" in folder:
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(conf).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
