@@ -74,6 +74,15 @@ def posterior_lattice(tests: DataFrame, cohorts: Sequence[Cohort] = COHORTS) ->
     )
 
 
+def given_infection_arrays(
+    tests: DataFrame, draws: int, cohorts: Sequence[Cohort] = COHORTS
+) -> DataFrame:
+    """(cohort, num_id, first, inf_days): draws 1, 2, ... of a person up to 14 days before the bound."""
+    numbers = F.sequence(F.lit(1).cast("long"), F.lit(draws).cast("long"))
+    days = F.transform(numbers, lambda draw: F.col("te_upper_bound") - 14 * unit(F.col("num_id") * 48271, draw * 16807))
+    return infection_bounds(tests, cohorts).select("cohort", "num_id", F.lit(1).cast("long").alias("first"), days.alias("inf_days"))
+
+
 def given_infection_days(
     tests: DataFrame, draws: int, cohorts: Sequence[Cohort] = COHORTS
 ) -> DataFrame:

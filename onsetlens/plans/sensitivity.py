@@ -10,7 +10,7 @@ from onsetlens.operators.cohorts import COHORTS, Cohort
 from onsetlens.operators.grid import CAP, SCENARIOS, STEP, Scenario
 from onsetlens.operators.likelihood import marginal_loglik
 from onsetlens.operators.model import param_logprior
-from onsetlens.operators.persons import blocks, patterns, person_entries
+from onsetlens.operators.persons import cohort_blocks, patterns, person_sets, set_blocks
 from onsetlens.operators.posterior import posterior_weights
 from onsetlens.session import materialise
 
@@ -22,9 +22,14 @@ def prior_sensitivity(
     cohorts: Sequence[Cohort] = COHORTS,
     step: float = STEP,
     cap: int = CAP,
+    persons: DataFrame | None = None,
 ) -> DataFrame:
-    """The same parameter rows scored and weighted under each scenario, in one pass over persons."""
-    packed = blocks(patterns(person_entries(tests, cohorts)), "weight", cap)
+    """The same parameter rows scored and weighted under each scenario, in one pass over persons.
+
+    ``persons`` are the ``person_sets`` of the tests, where the caller has them.
+    """
+    found = materialise(patterns(person_sets(tests, cohorts) if persons is None else persons), "patterns")
+    packed = cohort_blocks(set_blocks(found, "weight", cap), cohorts)
     names = F.array(*[F.lit(s.name) for s in scenarios])
     repeated = params.withColumn("scenario", F.explode(names))
     logliks = marginal_loglik(repeated, packed, scenarios, step, cap)
