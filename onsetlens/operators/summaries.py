@@ -68,7 +68,8 @@ def infection_day_positivity(cohort_tests: DataFrame, infection_draws: DataFrame
 
     Tests of a person on one day are counted before the join (a row with ``n`` stands for so
     many equal tests), so a person with many tests does not multiply the draws; the counts are
-    summed map-side by (draw, day).  Tests without a day or a result are not counted.
+    summed map-side by (draw, day).  Tests without a day or a result are not counted.  Draws
+    packed as ``first`` and ``inf_days`` are unpacked after the join, which then sorts persons.
     """
     number = F.col("n") if "n" in cohort_tests.columns else F.lit(1)
     counted = (
@@ -77,9 +78,12 @@ def infection_day_positivity(cohort_tests: DataFrame, infection_draws: DataFrame
         .agg(F.sum(F.when(F.col("pcr_result"), number).otherwise(0)).alias("pos"), F.sum(number).alias("n"))
     )
     x = (F.col("day_of_test") - F.rint("inf_day")).cast("int").alias("x")
+    met = counted.join(infection_draws, ["cohort", "num_id"])
+    if "inf_days" in infection_draws.columns:
+        met = met.select("*", F.posexplode("inf_days").alias("place", "inf_day"))
+        met = met.withColumn("draw", F.col("first") + F.col("place"))
     return (
-        counted.join(infection_draws, ["cohort", "num_id"])
-        .select(*_keys(infection_draws), "draw", x, "pos", "n")
+        met.select(*_keys(infection_draws), "draw", x, "pos", "n")
         .groupBy(*_keys(infection_draws, "draw", "x"))
         .agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
     )

@@ -33,7 +33,7 @@ from onsetlens.operators.summaries import (
     parameter_summary,
 )
 from onsetlens.plans.analysis import analyse, analyse_rows
-from onsetlens.plans.inputs import day_params, given_infection_days, lattice_params, posterior_lattice
+from onsetlens.plans.inputs import day_params, given_infection_arrays, lattice_params, posterior_lattice
 from onsetlens.plans.sensitivity import prior_sensitivity
 from onsetlens.session import configure, materialise, scratch_path
 from onsetlens.sources.checks import check_against_dictionary, check_values
@@ -249,7 +249,7 @@ def q_curve_summary(spark, folder):
 
 
 def _empirical(tests, cohorts=C.COHORTS):
-    given = given_infection_days(tests, DRAWS_GIVEN, cohorts)
+    given = given_infection_arrays(tests, DRAWS_GIVEN, cohorts)
     return empirical_curve(infection_day_positivity(C.counted_tests(tests, cohorts), given))
 
 
