@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from onsetlens.operators import likelihood
 from onsetlens.operators.cohorts import Cohort
 from onsetlens.operators.persons import cohort_blocks, patterns, person_entries, person_sets, set_blocks
+from onsetlens.operators.summaries import infection_day_positivity
 from onsetlens.session import configure
 
 COHORTS = (Cohort("All", {}), Cohort("Kept", {"kind": "a"}), Cohort("Rest", {"kind": "b"}))
@@ -41,6 +45,33 @@ def test_blocks_of_sets_hold_the_persons_of_each_cohort(spark):
     }
 
 
+def test_packed_draws_give_the_counts_of_single_ones(spark):
+    tests = _tests(spark).where("num_id is not null").withColumn("cohort", F.lit("All"))
+    packed = tests.select("cohort", "num_id").distinct().withColumn("first", F.lit(3).cast("long"))
+    packed = packed.withColumn("inf_days", F.array(*[F.lit(40.2) + i * 1.4 + F.col("num_id") % 3 for i in range(4)]))
+    single = likelihood.unpacked(packed.withColumn("scenario", F.lit("base"))).drop("scenario")
+    found, wanted = (infection_day_positivity(tests, d) for d in (packed, single))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, wanted.collect()))
+
+
+@pytest.mark.parametrize("kind", [np.float64, np.float32])
+def test_products_and_sums_of_logs_agree(kind):
+    rng = np.random.default_rng(3)
+    size = np.array([0, 1, 7, 40, 3, 2])
+    n = rng.integers(1, 4, size.sum())
+    n[-1] = 5000  # its product underflows
+    row = type("Row", (), dict(scenario="base", size_=size, day=rng.integers(-9, 40, size.sum()), n=n, pos=rng.integers(0, 2, size.sum()), bound=np.arange(6)))
+    cells = likelihood.Cells((likelihood.BASE,), 0.5, 30, "person")
+    thetas = np.array([[0.3, -0.05, -0.01, 4.0], [9.0, -3.0, -2.0, 1.0]])
+    tests = likelihood._Tests(row)
+    _, total, scale = cells.persons(row, cells.chances(thetas, tests, kind), tests, 0, 6, kind)
+    table = cells.tests(thetas, row.day, row.pos == 1) * n[:, None, None]
+    of = np.repeat(np.arange(6), size)
+    logs = np.stack([table[of == i].sum(axis=0) for i in tests.order]) + cells.log_w["base"][row.bound[tests.order]][:, None, :]
+    wanted = np.logaddexp.reduce(logs, axis=2)
+    assert np.allclose(scale + np.log(total), wanted, rtol=1e-12 if kind is np.float64 else 1e-5, atol=1e-12 if kind is np.float64 else 1e-5)
+
+
 def test_partitions_follow_a_size(spark):
     configure(spark)
     assert int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum")) >= 1024
