@@ -239,50 +239,53 @@ def marginal_loglik_relational(
     """``marginal_loglik`` from ``patterns`` by joins and aggregates inside the JVM.
 
     The likelihood of a test is found once per (cohort, day, result, parameter row) and cell.
-    Patterns are dealt out by their hash, and everything that follows (their tests meet those
-    terms, cells are summed over tests, meet the incubation grid above the bound and are folded
-    to the log of their sum) groups by more columns than that, so no other row of a pattern is
-    shuffled.  Patterns whose bound leaves no cell do not count.  It multiplies tests by
-    parameter rows and cells; the kernel of ``marginal_loglik`` is for many parameter rows.
+    A pattern stays one row: it meets these terms as a map per parameter row, sums them over its
+    tests into an array of cells, adds the incubation grid above its bound and folds the cells to
+    the log of their sum.  Patterns whose bound leaves no cell do not count.  It multiplies
+    patterns by parameter rows; the kernel of ``marginal_loglik`` is for many parameter rows.
     """
     spark = patterns.sparkSession
     given = "scenario" in params.columns
     thetas = params if given else params.withColumn("scenario", F.lit(BASE.name))
-    placeable = patterns.where(F.col("bound") < cap).withColumn("key", F.xxhash64("bound", "entries"))
-    dealt = (
-        placeable.repartition(parallel_tasks(spark), "cohort", "key")
-        .withColumn("row", F.monotonically_increasing_id())  # tells rows apart whose hashes collide
-        .select("cohort", "key", "row", "bound", "weight", F.inline("entries"))
-    )
+    placeable = patterns.where((F.col("bound") < cap) & (F.size("entries") > 0))
+    dealt = placeable.withColumn("key", F.xxhash64("bound", "entries")).repartition(parallel_tasks(spark), "cohort", "key")
     seen = placeable.select("cohort", F.inline("entries")).select("cohort", "day", "pos").distinct()
-    cells = F.explode(F.sequence(F.lit(0), F.lit(cell_count(step, cap) - 1))).alias("cell")
+    size = cell_count(step, cap)
+    cells = F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("cell")
     t = F.col("day") + (F.col("cell") + 0.5) * step
     value = bernoulli_logit(F.col("pos") == 1, curve_logit(t, *[F.col(name) for name in PARAMETERS]))
-    terms = join_params(seen, thetas.select("scenario", "cohort", "param_id", *PARAMETERS, cells), "day", cell_count(step, cap))
+    terms = join_params(seen, thetas.select("scenario", "cohort", "param_id", *PARAMETERS, cells), "day", size)
     terms = (
         terms.withColumn("value", F.when(t < 0, 0.0).otherwise(value) if truncation == "joint" else value)
         .groupBy("scenario", "cohort", "param_id", "day", "pos")
         .agg(F.array_sort(F.collect_list(F.struct("cell", "value")))["value"].alias("values"))
+        .withColumn("code", F.col("day") * 2 + F.col("pos"))
     )
     terms = materialise(terms, "terms")  # a row per day, result and parameter row, counted before it is sent
-    if terms.count() * cell_count(step, cap) <= BROADCAST_ROWS * len(PARAMETERS):
-        terms = F.broadcast(terms)
+    maps = terms.groupBy("scenario", "cohort", "param_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("code", "values"))).alias("terms")
+    )
     every_bound = spark.range(cap).select(F.col("id").cast("int").alias("inc_lower_bound"))
-    grid = incubation_grid(every_bound, scenarios, step, cap, truncation)
-    grid = grid.withColumn("cell", F.rint(F.col("inc") / step - 0.5).cast("int")).drop("inc")
-    pattern = ["scenario", "cohort", "key", "row", "bound", "weight", "param_id"]
-    summed = (
-        dealt.join(terms, ["cohort", "day", "pos"])
-        .select(*pattern, "n", F.posexplode("values").alias("cell", "value"))
-        .groupBy(*pattern, "cell")
-        .agg(F.sum(F.col("n") * F.col("value")).alias("value"))
-        .withColumnRenamed("bound", "inc_lower_bound")
-        .join(F.broadcast(grid), ["scenario", "inc_lower_bound", "cell"])  # at most scenarios x cap x cells rows
+    cell = F.rint(F.col("inc") / step - 0.5).cast("int").alias("cell")
+    above = F.map_from_entries(F.collect_list(F.struct(cell, "log_w")))
+    grid = (
+        incubation_grid(every_bound, scenarios, step, cap, truncation)
+        .groupBy("scenario", F.col("inc_lower_bound").alias("bound"))
+        .agg(above.alias("above"))
+        .select("scenario", "bound", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda c: F.col("above")[c]).alias("log_w"))
+    )
+    summed = F.aggregate(
+        "entries",
+        F.array_repeat(F.lit(0.0), size),
+        lambda held, e: F.zip_with(held, F.col("terms")[e["day"] * 2 + e["pos"]], lambda a, v: a + e["n"] * v),
     )
-    pattern[pattern.index("bound")] = "inc_lower_bound"
+    of_cells = F.filter(F.zip_with("summed", "log_w", lambda a, w: a + w), lambda v: v.isNotNull())  # null: not above the bound
     folded = (
-        summed.groupBy(*pattern)
-        .agg(F.collect_list(F.col("value") + F.col("log_w")).alias("of_cells"))  # at most one value per cell
+        join_params(dealt, maps, "key", known=terms.count() * size // len(PARAMETERS))
+        .withColumn("summed", summed)
+        .select("scenario", "cohort", "param_id", "bound", "weight", "summed")
+        .join(F.broadcast(grid), ["scenario", "bound"])  # scenarios x cap rows
+        .withColumn("of_cells", of_cells)
         .withColumn("top", F.array_max("of_cells"))
     )
     total = F.aggregate("of_cells", F.lit(0.0), lambda held, v: held + F.exp(v - F.col("top")))
