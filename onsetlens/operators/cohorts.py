@@ -83,18 +83,19 @@ def assign_cohorts(tests: DataFrame, cohorts: Sequence[Cohort] = COHORTS) -> Dat
     return member.select(cohort_names(cohorts), *[c for c in member.columns if c != "cohorts"])
 
 
-def counted_tests(tests: DataFrame, cohorts: Sequence[Cohort] = COHORTS) -> DataFrame:
+def counted_tests(tests: DataFrame, cohorts: Sequence[Cohort] = COHORTS, by_set: bool = False) -> DataFrame:
     """Equal tests of a person with their number ``n``, per cohort; tests are aligned.
 
     They are counted before the first shuffle and before the fan-out, so a person with a large
-    share of all tests weighs no more than one with a test on every day.
+    share of all tests weighs no more than one with a test on every day.  ``by_set`` leaves out
+    the fan-out: a row stands for all cohorts in ``cohorts``.
     """
-    return (
+    counted = (
         with_membership(tests, cohorts)
         .groupBy("num_id", "cohorts", "symp_onset_day", "day_of_test", "pcr_result")
         .agg(F.count(F.lit(1)).alias("n"))
-        .select(cohort_names(cohorts), "num_id", "symp_onset_day", "day_of_test", "pcr_result", "n")
     )
+    return counted.select("cohorts" if by_set else cohort_names(cohorts), "num_id", "symp_onset_day", "day_of_test", "pcr_result", "n")
 
 
 def cohort_persons(tests: DataFrame, cohorts: Sequence[Cohort] = COHORTS) -> DataFrame:

@@ -10,7 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from onsetlens.functions.density import curve_logit, inv_logit, normal_log_density
+from onsetlens.operators.cohorts import COHORTS, Cohort, cohort_names
 from onsetlens.operators.grid import BASE
+from onsetlens.session import materialise
 
 PARAMETERS = ("beta1", "beta2", "beta3", "cutpoint")
 
@@ -80,21 +82,27 @@ def param_blocks(params: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def test_loglik(params: DataFrame, tests: DataFrame) -> DataFrame:
+def test_loglik(params: DataFrame, tests: DataFrame, cohorts: Sequence[Cohort] = COHORTS) -> DataFrame:
     """Log-likelihood of all tests per parameter row, the infection day given in ``inf_day``.
 
     Tests are first counted by (cohort, days since infection, result); a row with ``n`` stands
     for so many equal tests.  Tests without a day, a result or an infection day do not count.
+    A row with ``cohorts`` instead of ``cohort`` stands for all of them and is fanned out once counted.
     The counts are packed into blocks, blocks of parameter rows meet them, and a task hands on
     one sum per parameter row: no row holds a test and a parameter row.
     """
+    of = "cohorts" if "cohorts" in tests.columns else "cohort"
     number = F.sum("n") if "n" in tests.columns else F.count(F.lit(1))
     counted = (
         tests.where(F.col("pcr_result").isNotNull() & F.col("day_of_test").isNotNull() & F.col("inf_day").isNotNull())
         .withColumn("diff", (F.col("day_of_test") - F.col("inf_day")).cast("double"))
-        .groupBy("cohort", "diff", "pcr_result")
+        .groupBy(of, "diff", "pcr_result")
         .agg(number.alias("n"))
     )
+    if of == "cohorts":
+        fanned = counted.select(cohort_names(cohorts), "diff", "pcr_result", "n")
+        counted = fanned.groupBy("cohort", "diff", "pcr_result").agg(F.sum("n").alias("n"))
+    counted = materialise(counted, "day-results")  # read twice, and far fewer rows than tests
     sizes = counted.groupBy("cohort").agg(F.ceil(F.count(F.lit(1)) / DIFF_BLOCK).alias("n_blocks"))
     packed = (
         counted.join(F.broadcast(sizes), "cohort")  # one row per cohort

@@ -176,10 +176,11 @@ def q_param_logprior(spark, folder):
 
 def q_test_loglik(spark, folder):
     tests = _tests(spark, folder)
-    days = infection_bounds(tests).select(
-        "cohort", "num_id", (F.col("te_upper_bound") - 0.5 * (1 + F.pmod("num_id", F.lit(28)))).alias("inf_day")
-    )
-    met = C.counted_tests(tests).join(days, ["cohort", "num_id"])
+    inf_day = (F.col("te_upper_bound") - 0.5 * (1 + F.pmod("num_id", F.lit(28)))).alias("inf_day")
+    days = infection_bounds(tests, by_set=True).select(F.col("cohorts").alias("of"), "num_id", inf_day)
+    # A person is met once for all its cohorts.
+    met = C.counted_tests(tests, by_set=True).join(days, "num_id")
+    met = met.withColumn("cohorts", F.col("cohorts").bitwiseAND(F.col("of"))).where("cohorts <> 0").drop("of")
     return _rounded(test_loglik(_lattice(tests), met), 6, "loglik")
 
 

@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from onsetlens.operators import likelihood
-from onsetlens.operators.cohorts import Cohort
+from onsetlens.operators.bounds import infection_bounds
+from onsetlens.operators.cohorts import Cohort, cohort_names, counted_tests
+from onsetlens.operators.model import test_loglik as loglik_of_tests
 from onsetlens.operators.persons import cohort_blocks, patterns, person_entries, person_sets, set_blocks
 from onsetlens.operators.summaries import infection_day_positivity
 from onsetlens.session import configure
@@ -76,3 +78,29 @@ def test_partitions_follow_a_size(spark):
     configure(spark)
     assert int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum")) >= 1024
     assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "8m"
+
+
+def test_bounds_by_set_are_those_of_cohorts_and_never_share_one(spark):
+    tests = _tests(spark).unionByName(
+        spark.createDataFrame(
+            [(100, -5, True, "b"), (100, -3, None, "a"), (102, -4, True, "a"), (102, -6, True, "b")], "num_id long, days_since_onset int, pcr_result boolean, kind string"
+        ).select("*", F.lit(50).alias("symp_onset_day"), (F.lit(50) + F.col("days_since_onset")).alias("day_of_test"))
+    )
+    sets = infection_bounds(tests, COHORTS, by_set=True)
+    found = sets.select(cohort_names(COHORTS), "num_id", "te_upper_bound", "inc_lower_bound")
+    wanted = infection_bounds(tests, COHORTS)
+    assert sorted(map(str, found.collect())) == sorted(map(str, wanted.collect()))
+    sizes = {r["num_id"]: r["count"] for r in sets.groupBy("num_id").count().collect()}
+    assert sizes.pop(100) == sizes.pop(102) == 3 and set(sizes.values()) == {1}
+
+
+def test_tests_of_a_set_count_in_all_its_cohorts(spark):
+    tests = _tests(spark)
+    day = (F.col("te_upper_bound") - 2.5).alias("inf_day")
+    single = counted_tests(tests, COHORTS).join(infection_bounds(tests, COHORTS).select("cohort", "num_id", day), ["cohort", "num_id"])
+    days = infection_bounds(tests, COHORTS, by_set=True).select(F.col("cohorts").alias("of"), "num_id", day)
+    met = counted_tests(tests, COHORTS, by_set=True).join(days, "num_id")
+    met = met.withColumn("cohorts", F.col("cohorts").bitwiseAND(F.col("of"))).where("cohorts <> 0").drop("of")
+    params = spark.createDataFrame([(c.name, i, 0.2 * i, -0.02, -0.01, 3.0) for c in COHORTS for i in range(3)], "cohort string, param_id long, beta1 double, beta2 double, beta3 double, cutpoint double")
+    found, wanted = ({(r[0], r[1]): r[2] for r in loglik_of_tests(params, t, COHORTS).collect()} for t in (met, single))
+    assert len(found) == 9 and found == pytest.approx(wanted)
