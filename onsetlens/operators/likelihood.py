@@ -12,6 +12,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from onsetlens.functions.density import bernoulli_logit, curve_logit
@@ -46,13 +47,14 @@ class Cells:
         self.step = step
         self.inc = (np.arange(cell_count(step, cap)) + 0.5) * step
         above = self.inc[None, :] > np.arange(cap)[:, None]
-        self.log_w = {}
+        self.log_w, self.w = {}, {}
         for s in scenarios:
             z = (np.log(self.inc) - s.mu) / s.sd
             kernel = np.exp(-np.log(self.inc) - 0.5 * z * z)
             mass = np.full(cap, kernel.sum()) if self.joint else above @ kernel
             with np.errstate(divide="ignore"):
                 self.log_w[s.name] = np.log(np.where(above, kernel, 0.0) / mass[:, None])
+            self.w[s.name] = np.exp(self.log_w[s.name])
 
     def tests(self, thetas: np.ndarray, days: np.ndarray, positive: np.ndarray) -> np.ndarray:
         """Log-likelihood of each distinct (day, result) under each parameter row in each cell.
@@ -60,14 +62,24 @@ class Cells:
         Days are whole and the step divides 1, so day + inc takes few values: the curve is
         evaluated once for each of them.
         """
-        per_day = round(1 / self.step)
+        value, at = self._curve(thetas, days)
+        return self._of_tests(value, at, positive)
+
+    def _curve(self, thetas: np.ndarray, days: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+        """Log mass by result, and where each day's cells begin; no places if days are far apart, then it is by day and cell."""
         first, span = int(days.min()), int(days.max() - days.min())
         if span > WIDE_DAYS:
-            value = self._by_result(thetas, days[:, None] + self.inc)
-            return np.where(positive[:, None], value[:, 1], value[:, 0]).transpose(1, 0, 2)
-        value = self._by_result(thetas, first + (np.arange(span * per_day + len(self.inc)) + 0.5) * self.step)
+            return self._by_result(thetas, days[:, None] + self.inc), None
+        per_day = round(1 / self.step)
+        t = first + (np.arange(span * per_day + len(self.inc)) + 0.5) * self.step
+        return self._by_result(thetas, t), (days - first) * per_day
+
+    def _of_tests(self, value: np.ndarray, at: np.ndarray | None, positive: np.ndarray, of=slice(None)) -> np.ndarray:
+        """(test, parameter row, cell) of some tests from what ``_curve`` gives."""
+        if at is None:
+            return np.where(positive[:, None], value[:, 1], value[:, 0]).transpose(1, 0, 2)[of]
         windows = np.lib.stride_tricks.sliding_window_view(value, len(self.inc), axis=2)
-        return windows[:, positive.astype(np.int64), (days - first) * per_day].transpose(1, 0, 2)
+        return windows[:, positive.astype(np.int64)[of], at[of]].transpose(1, 0, 2)
 
     def _by_result(self, thetas: np.ndarray, t: np.ndarray) -> np.ndarray:
         """Log mass of a negative and of a positive result at times t under each parameter row."""
@@ -82,9 +94,12 @@ class Cells:
 
     def chances(self, thetas: np.ndarray, tests: "_Tests", kind=np.float64) -> tuple[np.ndarray, np.ndarray]:
         """Logs of each distinct (day, result), and probabilities of each code of ``tests``, by parameter row and cell."""
-        table = self.tests(thetas, tests.days, tests.positive)
+        value, at = self._curve(thetas, tests.days)
+        table = self._of_tests(value, at, tests.positive)
         least = LEAST[kind][0]
-        chance = np.exp(np.where(table < least, -np.inf, table).astype(kind))[tests.of]
+        # Exponentials of the curve's few values, before they are laid out by test and cell.
+        chance = np.exp(np.where(value < least, -np.inf, value).astype(kind))
+        chance = np.ascontiguousarray(self._of_tests(chance, at, tests.positive, tests.of))
         more = np.flatnonzero(tests.n > 1)
         logs = table[tests.of[more]] * tests.n[more, None, None]
         chance[more] = np.exp(np.where(logs < least, -np.inf, logs))
@@ -97,8 +112,7 @@ class Cells:
         product is so small that a factor left out may count, are summed in logs.
         """
         table, chance = chances
-        log_w = self.log_w[row.scenario][tests.bound[a:b]]
-        weight = np.repeat(np.exp(log_w).astype(kind)[:, None, :], table.shape[1], axis=1)
+        weight = np.repeat(self.w[row.scenario].astype(kind, copy=False)[tests.bound[a:b]][:, None, :], table.shape[1], axis=1)
         met = np.empty_like(weight)
         with np.errstate(under="ignore"):
             for turn in tests.turns:
@@ -113,13 +127,22 @@ class Cells:
         if bad.any():
             counts = tests.counts(a + np.flatnonzero(bad))
             value = (counts @ table.reshape(len(table), -1)).reshape(len(counts), *table.shape[1:])
-            value += log_w[bad][:, None, :]
+            value += self.log_w[row.scenario][tests.bound[a:b][bad]][:, None, :]
             scale[bad] = value.max(axis=2)
             weight[bad] = np.exp((value - scale[bad][:, :, None]).astype(kind, copy=False))
             total[bad] = weight[bad] @ np.ones(weight.shape[2])
         return weight, total, scale
 
 
+def _distinct(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct whole numbers in order and the place of each; near each other they are marked, not sorted."""
+    low = int(code.min(initial=0))
+    if int(code.max(initial=0)) - low > WIDE_DAYS:
+        return np.unique(code, return_inverse=True)
+    seen = np.bincount(code - low) > 0
+    return np.flatnonzero(seen) + low, (np.cumsum(seen) - 1)[code - low]
+
+
 class _Tests:
     """Tests of the rows of a block as codes of distinct (day, result, number), most tests first."""
 
@@ -127,12 +150,12 @@ class _Tests:
         self.size = row.size_.astype(np.int64)
         self.order = np.argsort(-self.size, kind="stable")
         first = (np.cumsum(self.size) - self.size)[self.order]
-        code, self.column = np.unique(row.day.astype(np.int64) * 2 + row.pos, return_inverse=True)
+        code, self.column = _distinct(row.day.astype(np.int64) * 2 + row.pos)
         code = code if len(code) else np.zeros(1, np.int64)
         self.days, self.positive = code >> 1, (code & 1).astype(bool)
         self.number = row.n.astype(np.int64)
         base = int(self.number.max(initial=0)) + 1
-        key, entry = np.unique(self.column * base + self.number, return_inverse=True)
+        key, entry = _distinct(self.column * base + self.number)
         self.of, self.n = key // base, (key % base).astype(float)
         self.size, self.first = self.size[self.order], first
         self.bound = row.bound[self.order]
@@ -383,6 +406,7 @@ def _met_with_draws(draws: DataFrame, person_blocks: DataFrame) -> DataFrame:
 
 
 _PACKED = "scenario string, cohort string, num_id long, first long, inf_days array<double>"
+_PACKED_NAMES = [part.split()[0] for part in _PACKED.split(", ")]
 
 
 def packed_infection_draws(
@@ -397,25 +421,24 @@ def packed_infection_draws(
     """(scenario, cohort, num_id, first, inf_days): days of draws first, first + 1, ... of a person."""
     cells = Cells(scenarios, step, cap, truncation)
 
-    def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for row in _block_rows(batches):
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _block_rows(batch.to_pandas() for batch in batches):
             sampler = _Sampler(cells, row, seed)
+            persons = len(sampler.num_id)
+            same = [pa.repeat(pa.scalar(name, pa.string()), persons) for name in (row.scenario, row.cohort)]
+            num_id = pa.array(sampler.num_id, pa.int64())
             for at, days in sampler.infection_days():
                 numbers = sampler.draws[at : at + days.shape[1]]
                 # Draws of a block follow each other unless the caller numbered them with gaps.
                 cuts = [0, *(np.flatnonzero(np.diff(numbers) != 1) + 1).tolist(), len(numbers)]
                 for a, b in zip(cuts[:-1], cuts[1:]):
-                    yield pd.DataFrame(
-                        {
-                            "scenario": row.scenario,
-                            "cohort": row.cohort,
-                            "num_id": sampler.num_id,
-                            "first": numbers[a],
-                            "inf_days": list(days[:, a:b]),
-                        }
-                    )
-
-    return _met_with_draws(draws, person_blocks).mapInPandas(sample, _PACKED)
+                    first = pa.repeat(pa.scalar(int(numbers[a]), pa.int64()), persons)
+                    # The days as they lie in memory, with no object per person.
+                    ends = pa.array(np.arange(persons + 1, dtype=np.int32) * np.int32(b - a))
+                    held = pa.ListArray.from_arrays(ends, pa.array(days[:, a:b].ravel()))
+                    yield pa.RecordBatch.from_arrays([*same, num_id, first, held], _PACKED_NAMES)
+
+    return _met_with_draws(draws, person_blocks).mapInArrow(sample, _PACKED)
 
 
 def unpacked(packed: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ def person_sets(tests: DataFrame, cohorts: Sequence[Cohort] = COHORTS) -> DataFr
     kept = F.filter(
         "tests", lambda t: t["day"].isNotNull() & t["pos"].isNotNull() & (t["cohorts"].bitwiseAND(F.col("cohorts")) != 0)
     )
-    entries = F.array_sort(F.transform(kept, lambda t: F.struct(t["day"].alias("day"), t["pos"].alias("pos"), t["n"].alias("n"))))
+    entries = F.sort_array(F.transform(kept, lambda t: F.struct(t["day"].alias("day"), t["pos"].alias("pos"), t["n"].alias("n"))))
     early = F.transform("entries", lambda e: F.when((e["pos"] == 1) & (e["day"] < 0), -e["day"]))
     return sets.select("cohorts", "num_id", entries.alias("entries")).select(
         "cohorts", "num_id", F.coalesce(F.array_max(early), F.lit(0)).alias("bound"), "entries"
