@@ -13,6 +13,7 @@ from onsetlens.operators.model import test_loglik as loglik_of_tests
 from onsetlens.operators.persons import cohort_blocks, patterns, person_entries, person_sets, set_blocks
 from onsetlens.operators.summaries import infection_day_positivity
 from onsetlens.session import configure
+from onsetlens.sources.sinks import read_infection_draws, write_infection_draws
 
 COHORTS = (Cohort("All", {}), Cohort("Kept", {"kind": "a"}), Cohort("Rest", {"kind": "b"}))
 
@@ -104,3 +105,43 @@ def test_tests_of_a_set_count_in_all_its_cohorts(spark):
     params = spark.createDataFrame([(c.name, i, 0.2 * i, -0.02, -0.01, 3.0) for c in COHORTS for i in range(3)], "cohort string, param_id long, beta1 double, beta2 double, beta3 double, cutpoint double")
     found, wanted = ({(r[0], r[1]): r[2] for r in loglik_of_tests(params, t, COHORTS).collect()} for t in (met, single))
     assert len(found) == 9 and found == pytest.approx(wanted)
+
+
+def test_days_of_draws_leave_the_tasks_as_arrays(spark, make_tests):
+    """No object per person between numpy and Spark; draws numbered with gaps start a row each."""
+    tests = make_tests([(i, d, d % 3 == 0) for i in range(30) for d in (-1 - i % 3, 2, 5)])
+    packed = cohort_blocks(set_blocks(person_sets(tests).cache(), "num_id", 30))
+    rows = [("AllTests", i, 0.5, -0.02, -0.01, 3.0, first, n) for i, (first, n) in enumerate([(0, 3), (3, 2), (9, 2)])]
+    draws = spark.createDataFrame(rows, "cohort string, param_id long, beta1 double, beta2 double, beta3 double, cutpoint double, first long, copies long")
+    found = likelihood.packed_infection_draws(draws, packed, seed=5)
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    days = {(r["num_id"], r["first"]): r["inf_days"] for r in found.collect()}
+    assert {k: len(v) for k, v in days.items()} == {(i, f): n for i in range(30) for f, n in ((0, 5), (9, 2))}
+    met = likelihood._met_with_draws(draws, packed).toPandas()
+    for row in likelihood._block_rows([met]):
+        sampler = likelihood._Sampler(likelihood.Cells((likelihood.BASE,), 0.5, 30, "person"), row, 5)
+        for at, wanted in sampler.infection_days():
+            for place, person in enumerate(sampler.num_id.tolist()):
+                assert days[person, 0] + days[person, 9] == wanted[place].tolist()
+
+
+@pytest.mark.parametrize("wide", [1, 10_000])
+def test_distinct_numbers_are_those_of_a_sort(wide):
+    code = np.random.default_rng(1).integers(-40, 40, 500) * wide
+    for found, wanted in zip(likelihood._distinct(code), np.unique(code, return_inverse=True)):
+        assert found.tolist() == wanted.tolist()
+    assert [len(part) for part in likelihood._distinct(code[:0])] == [0, 0]
+
+
+def test_files_of_infection_days_are_dealt_over_all_cores(spark, tmp_path):
+    path, before = str(tmp_path / "days"), spark.conf.get("spark.sql.shuffle.partitions")
+    rows = [("base", c, i, 0, [1.0, 2.0]) for c in ("A", "B", "C") for i in range(40)]
+    packed = spark.createDataFrame(rows, "scenario string, cohort string, num_id long, first long, inf_days array<double>")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        write_infection_draws(packed, path, buckets=5)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    files = [p.name for p in (tmp_path / "days").rglob("part-*.parquet")]
+    assert len(files) == 15 and len({name.split("-")[1] for name in files}) > 5  # tasks that wrote
+    assert sorted(map(tuple, read_infection_draws(spark, path).collect())) == sorted(rows)
