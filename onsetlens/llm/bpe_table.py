@@ -22,6 +22,7 @@ from onsetlens.session import materialise
 
 CHUNK_BYTES = 24 << 20  # text of a chunk, but for a single longer text
 OUT_BYTES = 4 << 20  # text that a chunk hands on at once
+SQUEEZE = 9  # level of compression
 KNOWN_WORDS = 400_000  # words whose ids a task keeps while it encodes a bucket
 
 # White space of Unicode, and the letters of which the quick pattern is sure.
@@ -87,7 +88,29 @@ def unpack_numbers(data: bytes) -> np.ndarray:
     return out
 
 
-_CHUNK = "chunk string, bucket int, n_words long, docs array<long>, data binary, more binary, words array<string>"
+def squeezed(data: bytes) -> bytes:
+    """``data`` compressed for tables and shuffles, after its length."""
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", SQUEEZE).compress(data, asbytes=True)
+
+
+def unsqueezed(blob: bytes) -> bytes:
+    return pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+
+
+def pack_words(words: list[str]) -> tuple[bytes, bytes]:
+    """The characters of words, one after the other, and their lengths in bytes, both squeezed."""
+    held = [w.encode() for w in words]
+    return squeezed(b"".join(held)), squeezed(pack_numbers(np.fromiter(map(len, held), np.int64, len(held))))
+
+
+def unpack_words(data: bytes, more: bytes) -> list[str]:
+    ends = np.cumsum(unpack_numbers(unsqueezed(more)))
+    offsets = np.concatenate([[0], ends]).astype(np.int64)
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(unsqueezed(data))]
+    return pa.LargeStringArray.from_buffers(len(ends), buffers[1], buffers[2]).to_pylist()
+
+
+_CHUNK = "chunk string, bucket int, n_words long, docs array<long>, data binary, more binary"
 
 
 def _chunks(tokenizer: str, buckets: int, chunk_bytes: int):
@@ -117,14 +140,14 @@ def _chunks(tokenizer: str, buckets: int, chunk_bytes: int):
             for w in words:
                 mark.update(w)
             chunk = mark.hexdigest()
-            yield chunk, -1, len(words), docs, data, pack_numbers(np.concatenate([np.array(counts, np.int64), home])), None
+            yield chunk, -1, len(words), docs, squeezed(data), squeezed(pack_numbers(np.concatenate([np.array(counts, np.int64), home])))
             by_home = np.argsort(home, kind="stable")
             for part in np.split(by_home, np.flatnonzero(np.diff(home[by_home])) + 1):
                 if len(part):
-                    yield chunk, int(home[part[0]]), len(part), None, None, None, [words[i] for i in part]
+                    yield chunk, int(home[part[0]]), len(part), None, *pack_words([words[i] for i in part])
 
         def batch_of(found):
-            kinds = [pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.string())]
+            kinds = [pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
             columns = [pa.array(c, k) for c, k in zip(zip(*found), kinds)]
             return pa.RecordBatch.from_arrays(columns, [p.split()[0] for p in _CHUNK.split(", ")])
 
@@ -155,7 +178,7 @@ def _encode_words(tokenizer: str):
         known: dict[str, bytes] = {}
         for batch in batches:
             for i in range(batch.num_rows):
-                words = batch.column(2)[i].as_py()
+                words = unpack_words(batch.column(2)[i].as_py(), batch.column(3)[i].as_py())
                 missing = [w for w in words if w not in known]
                 if len(known) + len(missing) > KNOWN_WORDS:
                     known, missing = {}, words
@@ -168,8 +191,8 @@ def _encode_words(tokenizer: str):
                     [
                         batch.column(0).slice(i, 1),
                         batch.column(1).slice(i, 1),
-                        pa.array([pack_numbers(lengths)], pa.binary()),
-                        pa.array([ids.astype("<u4" if wide else "<u2").tobytes()], pa.binary()),
+                        pa.array([squeezed(pack_numbers(lengths))], pa.binary()),
+                        pa.array([squeezed(ids.astype("<u4" if wide else "<u2").tobytes())], pa.binary()),
                         pa.array([4 if wide else 2], pa.int32()),
                     ],
                     ["chunk", "bucket", "first", "second", "width"],
@@ -210,14 +233,14 @@ def _join_back(tokenizer: str):
     """Rows by chunk, the ids of its words before its documents, to (id, ids, decoded text)."""
 
     def documents_of(chunk: dict, encoded: dict[int, dict]) -> Iterator[pa.RecordBatch]:
-        flat, more = unpack_numbers(chunk["first"]), unpack_numbers(chunk["second"])
+        flat, more = unpack_numbers(unsqueezed(chunk["first"])), unpack_numbers(unsqueezed(chunk["second"]))
         counts, home = more[: len(chunk["docs"])], more[len(chunk["docs"]) :]
         lengths, starts, parts, done = np.zeros(len(home), np.int64), np.zeros(len(home), np.int64), [], 0
         for bucket, row in encoded.items():
             at = np.flatnonzero(home == bucket)
-            lengths[at] = unpack_numbers(row["first"])
+            lengths[at] = unpack_numbers(unsqueezed(row["first"]))
             starts[at] = done + np.cumsum(lengths[at]) - lengths[at]
-            parts.append(np.frombuffer(row["second"], f"<u{row['width']}").astype(np.uint32))
+            parts.append(np.frombuffer(unsqueezed(row["second"]), f"<u{row['width']}").astype(np.uint32))
             done += len(parts[-1])
         word_ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
         table = pieces(tokenizer)
@@ -263,7 +286,7 @@ def encode_decode(documents: DataFrame, tokenizer: str, id_column: str = "doc_id
     kept = documents.select(documents[id_column].cast("long").alias("doc_id"), documents[text_column].cast("string").alias("text"))
     # Written once: a chunk has to be the same for its documents and for its words.
     table = materialise(kept.mapInArrow(_chunks(tokenizer, buckets, chunk_bytes), _CHUNK), "chunks", compression="zstd")
-    words = table.where("bucket >= 0").select("chunk", "bucket", "words").repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
+    words = table.where("bucket >= 0").select("chunk", "bucket", "data", "more").repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
     encoded = words.mapInArrow(_encode_words(tokenizer), "chunk string, bucket int, first binary, second binary, width int")
     chunks = table.where("bucket < 0").select(
         "chunk", "bucket", F.col("data").alias("first"), F.col("more").alias("second"), F.lit(0).alias("width"), "docs"
