@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from onsetlens.llm.common import (
     small_batches,
-    BUCKETS_PER_PARTITION, order_bounds, order_bucket, partitions, ragged_take, segments, sums_between, texts_of, words_of,
+    BUCKETS_PER_PARTITION, order_bounds, order_places, partitions, ragged_take, segments, sums_between, texts_of, words_of,
 )
 from onsetlens.llm.elias_fano import EliasFano
 from onsetlens.llm.word_ids import load_tokenizer, word_tokens
@@ -30,8 +30,13 @@ def _id_type(path: str) -> np.dtype:
     return np.dtype("<u2" if load_tokenizer(path).get_vocab_size() <= 1 << 16 else "<u4")
 
 
-def encode_documents(documents: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """(doc_id, ids binary): the ids of each whole text and ``end_id``, 16 bits each where they fit."""
+def encode_documents(documents: DataFrame, tokenizer: str, end_id: int, bounds: list[int]) -> DataFrame:
+    """(doc_id, ids binary, bucket int): the ids of each whole text and ``end_id``, 16 bits each where they fit.
+
+    The bucket by ``bounds`` (``order_bounds``) is found here: a UDF of its own would keep a second
+    Python worker for each task, and every worker comes to hold the tokenizer and its words.
+    """
+    known = np.array(bounds, np.int64)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = _id_type(tokenizer)
@@ -55,9 +60,10 @@ def encode_documents(documents: DataFrame, tokenizer: str, end_id: int) -> DataF
                     last, held = row, piece
             if last >= 0:
                 done.append(held + end)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(done, pa.binary())], ["doc_id", "ids"])
+            places = order_places(batch.column(0), known)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(done, pa.binary()), places], ["doc_id", "ids", "bucket"])
 
-    return documents.mapInArrow(encode, "doc_id long, ids binary")
+    return documents.mapInArrow(encode, "doc_id long, ids binary, bucket int")
 
 
 def write_token_file(
@@ -75,8 +81,7 @@ def write_token_file(
     count = partitions(spark)
     bounds = order_bounds(kept, "doc_id", BUCKETS_PER_PARTITION * count)
     dealt = (
-        encode_documents(kept, tokenizer, end_id)
-        .withColumn("bucket", order_bucket(F.col("doc_id"), bounds))
+        encode_documents(kept, tokenizer, end_id, bounds)
         .repartition(count, "bucket")
         .sortWithinPartitions("bucket", F.asc_nulls_first("doc_id"), "ids")
     )
