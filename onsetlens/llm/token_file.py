@@ -22,6 +22,7 @@ from onsetlens.llm.elias_fano import EliasFano
 from onsetlens.llm.word_ids import load_tokenizer, word_tokens
 from onsetlens.session import scratch_path
 
+ENCODE_TEXT = 8 << 20  # bytes of text encoded at once: a usual batch of texts whole, so that a word is looked up once
 SEGMENT_TOKENS = 500_000  # ids of a segment, but for a longer single document
 _SEGMENT = "bucket int, segment int, n_docs long, n_nulls long, n_tokens long, id_bytes int, doc_ids binary, ends binary, ids binary"
 
@@ -45,7 +46,7 @@ def encode_documents(documents: DataFrame, tokenizer: str, end_id: int, bounds:
             texts = texts_of(batch.column(1))
             last, held = -1, b""
             done: list[bytes] = []
-            for rows, part in segments(texts):
+            for rows, part in segments(texts, ENCODE_TEXT):
                 offsets, codes, words = words_of(part)
                 flat, starts, lengths = word_tokens(tokenizer, words, False)
                 ends = np.concatenate([[0], np.cumsum(sums_between(lengths[codes], offsets))]) * kind.itemsize
