@@ -12,10 +12,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from onsetlens.session import materialise
+from onsetlens.llm.common import partitions
+from onsetlens.session import materialise, parallel_tasks
 
 BLOCK_ROWS = 4096  # vectors in a packed block
-SHARD_GROUPS = 1024  # a tile is repeated for at most so many groups of shards
+GROUP_SHARDS = 16  # about so many shards at most form a group, which a task holds while tiles go by
 BRANCHES = 16  # of the merge tree
 _EXACT = float(1 << 53)
 _LONG = (1 << 63) - 1
@@ -118,13 +119,18 @@ def top_k(
     tiles = materialise(
         packed(asked.repartition(max(1, -(-total // BLOCK_ROWS)), id_column), BLOCK_ROWS), "tiles"
     ).withColumn("tile", F.xxhash64("ids", "parts"))
-    groups = min(SHARD_GROUPS, max(1, shards.count()))
+    # Enough groups for all cores; more only where a group would be too large for a task, as a tile is repeated for each.
+    found = shards.count()
+    groups = max(1, min(found, max(parallel_tasks(vectors.sparkSession), -(-found // GROUP_SHARDS))))
     shards = shards.withColumn("group", F.pmod(F.xxhash64("ids", "parts"), F.lit(groups)))
     left = tiles.select(
         "tile", "dim", F.col("top").alias("q_top"), F.col("ids").alias("q_ids"), F.col("parts").alias("q_parts"),
         F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<bigint>")).alias("group"),
     )
-    met = left.join(shards, ["group", "dim"]).select("group", "tile", "dim", "q_top", "top", "q_ids", "q_parts", "ids", "parts")
+    # Spark takes the tiles for small, as it does not count the repeats, and would broadcast them by way of the driver.
+    tasks = max(groups, partitions(vectors.sparkSession))
+    left, right = (side.repartition(tasks, "group", "dim") for side in (left, shards))
+    met = left.join(right.hint("merge"), ["group", "dim"]).select("group", "tile", "dim", "q_top", "top", "q_ids", "q_parts", "ids", "parts")
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -38,3 +38,13 @@ def test_ties_repeats_and_nulls(spark):
     table = made(spark, rows + odd)
     found = lists(top_k(table, table.where("vec_id IS NULL OR vec_id IN (0, 20, -4, 80, 81, 82, 83)"), k=7))
     assert found == brute(rows, {0, 20, -4}, 7)
+
+
+def test_no_tiles_by_way_of_the_driver(spark, monkeypatch):
+    # Several groups: the tiles are repeated for each, which a broadcast would collect in the driver.
+    monkeypatch.setattr("onsetlens.llm.topk.BLOCK_ROWS", 8)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(200)]
+    found = top_k(made(spark, rows).repartition(3), made(spark, rows).where("vec_id % 10 = 0"), k=3)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert lists(found) == brute(rows, set(range(0, 200, 10)), 3)
