@@ -7,7 +7,9 @@ meet blocks of patterns of the same cohort, and only sums per parameter row leav
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import operator
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -30,6 +32,7 @@ WIDE_DAYS = 4096  # a block whose days spread wider is evaluated test by test
 HELD_SUMS = 512  # partial sums a task holds before it hands them on
 DRAWS_AT_ONCE = 256  # draws of a block of persons sampled together
 SPLIT_BLOCKS = 256  # blocks of persons whose infection days a task counts for the same draws
+SUMMED_CELLS = 16_000_000  # cells of patterns times parameter rows that a task sums, 8 bytes each
 HELD_COUNTS = 4_000_000  # counts by draw and day a task holds before it hands them on
 
 # "person": the prior is renormalised above each person's bound, tests count whatever their day.
@@ -261,33 +264,34 @@ def marginal_loglik_relational(
 ) -> DataFrame:
     """``marginal_loglik`` from ``patterns`` by joins and aggregates inside the JVM.
 
-    The likelihood of a test is found once per (cohort, day, result, parameter row) and cell.
-    A pattern stays one row: it meets these terms as a map per parameter row, sums them over its
-    tests into an array of cells, adds the incubation grid above its bound and folds the cells to
-    the log of their sum.  Patterns whose bound leaves no cell do not count.  It multiplies
-    patterns by parameter rows; the kernel of ``marginal_loglik`` is for many parameter rows.
+    The likelihood of a test is found once per (cohort, day, result, parameter row), a column a
+    cell.  A pattern meets these terms test by test; sums by pattern and parameter row never leave
+    the task that has the pattern, unless the terms are too many to broadcast.  The incubation
+    grid above the bound is added and the cells are folded to the log of their sum.  Patterns whose
+    bound leaves no cell do not count.  It multiplies patterns by parameter rows; the kernel of
+    ``marginal_loglik`` is for many parameter rows.
     """
     spark = patterns.sparkSession
     given = "scenario" in params.columns
     thetas = params if given else params.withColumn("scenario", F.lit(BASE.name))
+    # Written at once, so that the numbers stay; it is read for the tests seen and for the sums.
     placeable = patterns.where((F.col("bound") < cap) & (F.size("entries") > 0))
-    dealt = placeable.withColumn("key", F.xxhash64("bound", "entries")).repartition(parallel_tasks(spark), "cohort", "key")
+    kept = placeable.select(F.monotonically_increasing_id().alias("id"), "cohort", "bound", "weight", "entries")
+    placeable = materialise(kept, "numbered-patterns")
     seen = placeable.select("cohort", F.inline("entries")).select("cohort", "day", "pos").distinct()
     size = cell_count(step, cap)
-    cells = F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("cell")
+    cells = [f"cell{c}" for c in range(size)]
+    every = F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("cell")
     t = F.col("day") + (F.col("cell") + 0.5) * step
     value = bernoulli_logit(F.col("pos") == 1, curve_logit(t, *[F.col(name) for name in PARAMETERS]))
-    terms = join_params(seen, thetas.select("scenario", "cohort", "param_id", *PARAMETERS, cells), "day", size)
+    terms = join_params(seen, thetas.select("scenario", "cohort", "param_id", *PARAMETERS, every), "day", size)
     terms = (
         terms.withColumn("value", F.when(t < 0, 0.0).otherwise(value) if truncation == "joint" else value)
         .groupBy("scenario", "cohort", "param_id", "day", "pos")
         .agg(F.array_sort(F.collect_list(F.struct("cell", "value")))["value"].alias("values"))
-        .withColumn("code", F.col("day") * 2 + F.col("pos"))
+        .select("scenario", "cohort", "param_id", "day", "pos", *[F.col("values")[c].alias(name) for c, name in enumerate(cells)])
     )
     terms = materialise(terms, "terms")  # a row per day, result and parameter row, counted before it is sent
-    maps = terms.groupBy("scenario", "cohort", "param_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("code", "values"))).alias("terms")
-    )
     every_bound = spark.range(cap).select(F.col("id").cast("int").alias("inc_lower_bound"))
     cell = F.rint(F.col("inc") / step - 0.5).cast("int").alias("cell")
     above = F.map_from_entries(F.collect_list(F.struct(cell, "log_w")))
@@ -295,25 +299,24 @@ def marginal_loglik_relational(
         incubation_grid(every_bound, scenarios, step, cap, truncation)
         .groupBy("scenario", F.col("inc_lower_bound").alias("bound"))
         .agg(above.alias("above"))
-        .select("scenario", "bound", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda c: F.col("above")[c]).alias("log_w"))
-    )
-    summed = F.aggregate(
-        "entries",
-        F.array_repeat(F.lit(0.0), size),
-        lambda held, e: F.zip_with(held, F.col("terms")[e["day"] * 2 + e["pos"]], lambda a, v: a + e["n"] * v),
+        .select("scenario", "bound", *[F.col("above")[c].alias(f"w{c}") for c in range(size)])
     )
-    of_cells = F.filter(F.zip_with("summed", "log_w", lambda a, w: a + w), lambda v: v.isNotNull())  # null: not above the bound
-    folded = (
-        join_params(dealt, maps, "key", known=terms.count() * size // len(PARAMETERS))
-        .withColumn("summed", summed)
-        .select("scenario", "cohort", "param_id", "bound", "weight", "summed")
-        .join(F.broadcast(grid), ["scenario", "bound"])  # scenarios x cap rows
-        .withColumn("of_cells", of_cells)
-        .withColumn("top", F.array_max("of_cells"))
+    rows = terms.count()
+    most = thetas.groupBy("cohort").count().agg(F.max("count")).first()[0] or 1
+    tasks = max(parallel_tasks(spark), -(-placeable.count() * most * size // SUMMED_CELLS))
+    # A task has all tests of its patterns, so that their sums need no second shuffle.
+    dealt = placeable.repartition(tasks, "id").select("id", "cohort", "bound", "weight", F.inline("entries"))
+    summed = (
+        join_params(dealt, terms, "id", known=rows * size // len(PARAMETERS), on=["cohort", "day", "pos"])
+        .groupBy("id", "scenario", "cohort", "param_id", "bound", "weight")
+        .agg(*[F.sum(F.col("n") * F.col(name)).alias(name) for name in cells])
     )
-    total = F.aggregate("of_cells", F.lit(0.0), lambda held, v: held + F.exp(v - F.col("top")))
-    person = F.col("weight") * (F.col("top") + F.log(total))
-    return folded.groupBy("scenario", "cohort", "param_id").agg(F.sum(person).alias("loglik"))
+    met = summed.join(F.broadcast(grid), ["scenario", "bound"])  # scenarios x cap rows
+    of_cells = [F.col(name) + F.col(f"w{c}") for c, name in enumerate(cells)]  # null: not above the bound
+    top = F.greatest(*of_cells) if size > 1 else of_cells[0]
+    total = functools.reduce(operator.add, [F.coalesce(F.exp(v - top), F.lit(0.0)) for v in of_cells])
+    folded = met.select("scenario", "cohort", "param_id", (F.col("weight") * (top + F.log(total))).alias("person"))
+    return folded.groupBy("scenario", "cohort", "param_id").agg(F.sum("person").alias("loglik"))
 
 
 # Fixed values of the 64-bit mixer below: odd step and two multipliers (splitmix64).

@@ -49,9 +49,9 @@ def param_logprior(params: DataFrame) -> DataFrame:
 
 
 def join_params(
-    rows: DataFrame, params: DataFrame, salt: str, per_row: int = 1, known: int | None = None
+    rows: DataFrame, params: DataFrame, salt: str, per_row: int = 1, known: int | None = None, on: Sequence[str] = ("cohort",)
 ) -> DataFrame:
-    """Meet the parameter rows of the same cohort.
+    """Meet the parameter rows of the same cohort, or of the same ``on``.
 
     A parameter table of checked size is broadcast.  A larger one is repeated over salts and
     hash-joined, so that no cohort, which may hold most rows, ends in one task.  A row of
@@ -60,10 +60,10 @@ def join_params(
     """
     most = BROADCAST_ROWS // per_row
     if (params.limit(most + 1).count() if known is None else known / per_row) <= most:
-        return rows.join(F.broadcast(params), "cohort")
+        return rows.join(F.broadcast(params), [*on])
     salted = params.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     key = F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")
-    return rows.withColumn("salt", key).join(salted, ["cohort", "salt"]).drop("salt")
+    return rows.withColumn("salt", key).join(salted, [*on, "salt"]).drop("salt")
 
 
 def param_blocks(params: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
